@@ -91,7 +91,8 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], total: float) ->
         for c, x in share.items():
             hand_down(c, max(0.0, x))
 
-    hand_down((), total)
+    if leaves:
+        hand_down((), total)
     return given
 
 
