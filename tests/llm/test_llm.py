@@ -178,6 +178,15 @@ def test_exact_join_loses_nothing(spark):
     assert 500 not in classes
 
 
+def test_moved_sentences_do_not_differ(spark):
+    draw = random.Random(9)
+    parts = ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(40)) + "。" for _ in range(8)]
+    row = lambda k, ps, answer: (k, [("user", "写\n" + "".join(ps)), ("assistant", answer)], None)
+    t = spark.createDataFrame([row(1, parts, "答案" * 20)], SAMPLE)
+    v = spark.createDataFrame([row(11, [*parts[4:], *parts[:4]], "答案" * 20), row(12, parts, "别的" * 20), row(13, [*parts[5:], *parts[5:]], "答案" * 20)], SAMPLE)
+    assert [(r["sample_a"], r["sample_b"], r["edits"]) for r in overlap.overlap_pairs(t, v).collect()] == [(1, 11, 0)]
+
+
 def test_production_segments_lose_nothing_here(spark, data):
     """The parameters of the query against all pairs of the small tables."""
     t, v = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("sft_train", "sft_valid"))
