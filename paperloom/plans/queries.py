@@ -389,6 +389,18 @@ SQL: dict[str, str] = {
         SELECT sample_id, CASE WHEN n <= greatest(1, floor(total * {LIMITS.valid_ratio})) THEN 'valid' ELSE 'train' END AS split FROM r""",
     "cosine_topn": f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= {LIMITS.top_n}""",
+    "mmr_rerank": f"""WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, c.vec_id, c.embedding::DOUBLE[] AS e, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS sim
+          FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0),
+        t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s), p AS (SELECT * FROM t WHERE rank <= {LIMITS.top_n}),
+        l AS (SELECT a.query_id, a.vec_id, b.vec_id AS other, list_inner_product(a.e, b.e) AS likeness FROM p a JOIN p b ON a.query_id = b.query_id),
+        sel AS (SELECT query_id, 1 AS pick, vec_id, sim, [vec_id] AS chosen FROM p WHERE rank = 1
+          UNION ALL
+          SELECT query_id, pick + 1, vec_id, sim, list_append(chosen, vec_id) FROM (
+            SELECT sel.query_id, sel.pick, p.vec_id, p.sim, sel.chosen,
+              row_number() OVER (PARTITION BY sel.query_id ORDER BY {LIMITS.mmr_lambda} * p.sim - {1 - LIMITS.mmr_lambda} * max(l.likeness) DESC, p.rank) AS n
+            FROM sel JOIN p ON p.query_id = sel.query_id AND NOT list_contains(sel.chosen, p.vec_id) JOIN l ON l.query_id = p.query_id AND l.vec_id = p.vec_id AND list_contains(sel.chosen, l.other)
+            WHERE sel.pick < {LIMITS.mmr_k} GROUP BY sel.query_id, sel.pick, p.vec_id, p.sim, p.rank, sel.chosen) WHERE n = 1)
+        SELECT query_id, vec_id, sim, pick FROM sel""",
     "evidence_blocks": f"""WITH {_SECTIONS}, b AS (SELECT ord, section_ord, '【' || section || '证据】' || chr(10) || {_norm('text')} AS block FROM secs)
         SELECT ord, min(section_ord)::BIGINT AS section_ord, md5(block) AS digest FROM b GROUP BY ord, block""",
     "budget_clip": f"""WITH {_SECTIONS}, c AS (SELECT ord, section_ord, CASE WHEN length(text) > {LIMITS.block_chars + LIMITS.block_slack} THEN left(text, {LIMITS.block_chars}) || '…' ELSE text END AS block FROM secs),
