@@ -92,9 +92,59 @@ QUERIES = {
     for f in (p1_found, p1_pieces, p2_found, p2_split, p3_found, p3_classes, p3_report, p4_found, p4_report, p5_found, p5_one_form, p6_found, p7_found, p7_clean, p8_mix, p8_shares, p9_found, p9_masked)
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _look_alike_form(value: str) -> str:
+    seen = f"translate(regexp_replace({value}, '{lookalikes.UNSEEN}', '', 'g'), {_quoted(lookalikes.LOOK_ALIKE)}, {_quoted(lookalikes.PLAIN)})"
+    return f"nfc_normalize(regexp_replace({seen}, '\\r\\n|\\r|\\x{{85}}|\\x{{2028}}|\\x{{2029}}', chr(10), 'g'))"
+
+
+def _number(text: str, part: int) -> str:
+    """Look-around that the other engine lacks is spelt out; the result is the same."""
+    plain = f"upper(translate({text}, {_quoted(grouped_split.WIDE)}, {_quoted(grouped_split.NARROW)}))"
+    return f"nullif(regexp_extract({plain}, '{grouped_split.NUMBER.replace('(?![0-9])', '(?:[^0-9]|$)')}', {part}), '')"
+
+
+def _serial(text: str) -> str:
+    plain = f"translate({text}, {_quoted(grouped_split.WIDE)}, {_quoted(grouped_split.NARROW)})"
+    return f"coalesce({_number(text, 3)}, nullif(regexp_extract({plain}, '(?:^|[^0-9])([0-9]{{7}})(?:[^0-9]|$)', 1), ''))"
+
+
+_WRITTEN = "coalesce(" + ", ".join(f"CASE WHEN {_serial('meta.' + c)} IS NOT NULL THEN meta.{c} END" for c in ("doc_id", "safe_doc_id", "seed_stem", "seed_path")) + ")"
+_HEAD_LINES = " || ".join(f"regexp_extract_all(msg, '{grouped_split.HEAD_LINE}', {i})" for i in (1, 2, 3))
+
 #: Those that SQL expresses at a bearable speed; the tests hold the others against brute force.
 SQL = {
     "p1_found": """
         SELECT l.limit_name, r.ord FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
     """,
+    "p2_found": f"""
+        WITH RECURSIVE filed AS (SELECT DISTINCT {_serial('doc_id')} AS serial, {_number('doc_id', 1)} AS unit FROM reports_sections WHERE {_number('doc_id', 1)} IS NOT NULL),
+        m AS (SELECT sample_id, {_WRITTEN} AS written, coalesce(array_to_string(list_transform(list_filter(messages, lambda x: x.role = 'user'), lambda x: coalesce(x.content, '')), chr(10)), '') AS msg FROM sft_train),
+        names AS (SELECT sample_id, unnest(regexp_split_to_array(regexp_replace(line, '([一-鿿]{{2}})[和与及]([一-鿿]{{2}})', '\\1、\\2', 'g'), '\\s*(?:[、，,；;/／&＆|]|\\band\\b)\\s*')) AS name
+          FROM (SELECT sample_id, unnest({_HEAD_LINES}) AS line FROM m)),
+        plain AS (SELECT sample_id, regexp_replace(lower(translate(name, {_quoted(grouped_split.WIDE)}, {_quoted(grouped_split.NARROW)})), '[\\s\\p{{Z}}.。:：]+', '', 'g') AS name FROM names),
+        ent AS (SELECT DISTINCT sample_id, '1:' || name AS e FROM plain WHERE length(name) BETWEEN 2 AND 40
+          UNION SELECT sample_id, '0:' || unit FROM m JOIN filed ON filed.serial = {_serial('written')}
+          UNION SELECT sample_id, '0:' || {_number('written', 1)} FROM m WHERE {_number('written', 1)} IS NOT NULL AND {_serial('written')} NOT IN (SELECT serial FROM filed)),
+        reach AS (SELECT DISTINCT e AS node, e AS other FROM ent UNION SELECT r.node, b.e FROM reach r JOIN ent a ON a.e = r.other JOIN ent b ON a.sample_id = b.sample_id),
+        comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
+        keyed AS (SELECT sample_id, min(c) AS c FROM ent JOIN comp ON node = e GROUP BY sample_id)
+        SELECT s.sample_id, CASE WHEN c LIKE '0:%' THEN substr(c, 3) END AS group_key FROM sft_train s LEFT JOIN keyed k ON s.sample_id = k.sample_id
+    """,
+    "p4_found": f"""
+        WITH t AS (SELECT ord, array_to_string(list_transform(map_values(sections), lambda v: regexp_replace(coalesce(v, ''), '[^\\p{{L}}]+', '', 'g')), '|') AS x FROM reports_sections),
+        c AS (SELECT ord, length(replace(x, '|', '')) AS n, unnest(range(length(x))) AS i, unnest(string_split(x, '')) AS c FROM t WHERE length(x) > {repetition.WIDTH}),
+        w AS (SELECT ord, n, i, string_agg(c, '') OVER (PARTITION BY ord ORDER BY i ROWS BETWEEN CURRENT ROW AND {repetition.WIDTH - 1} FOLLOWING) AS g FROM c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY ord, g ORDER BY i) AS k FROM w WHERE length(g) = {repetition.WIDTH} AND NOT contains(g, '|')),
+        s AS (SELECT ord, n, least({repetition.WIDTH}, i - coalesce(lag(i) OVER (PARTITION BY ord ORDER BY i), -{repetition.WIDTH})) AS more FROM r WHERE k > 1)
+        SELECT ord FROM s GROUP BY ord, n HAVING round(sum(more) / n, 6) >= 0.3
+    """,
+    "p5_found": f"""
+        WITH v AS (SELECT 'title' AS field, ord, title AS value FROM reports_sections UNION ALL SELECT 'full_text', ord, full_text FROM reports_sections),
+        f AS (SELECT field, ord, value, {_look_alike_form('value')} AS form FROM v WHERE regexp_matches(value, '[^\\s\\p{{Z}}\\p{{Cf}}]'))
+        SELECT a.field, a.ord AS ord_a, b.ord AS ord_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.ord < b.ord AND a.value <> b.value
+    """,
 }

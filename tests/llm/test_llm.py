@@ -20,7 +20,7 @@ def test_query(spark, data, name):
     rows = got.collect()
     if name in SQL:
         db = duckdb.connect()
-        for t in ("reports_sections", "split_limits"):
+        for t in ("reports_sections", "sft_train", "split_limits"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
         result = db.execute(SQL[name])
         assert sorted(map(tuple, rows)) == sorted(result.fetchall())
