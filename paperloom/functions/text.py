@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, TITLES
+from .binding import let
 
 #: White space in the sense of Unicode, which the engine's own ``\\s`` and ``trim`` only cover in part.
 WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -54,8 +55,7 @@ def guided_query(title: Column | str, hint: Column | str) -> Column:
 
 def evidence_block(title: Column, c: Column) -> Column:
     """A block under its section's header; null where there is no text."""
-    body = normalize_text(c)
-    return F.when(body != "", F.concat(F.lit("【"), title, F.lit("证据】\n"), body))
+    return let(normalize_text(c), lambda body: F.when(body != "", F.concat(F.lit("【"), title, F.lit("证据】\n"), body)))
 
 
 def merge_sections(parts: dict[str, Column], titles: tuple[str, ...] = TITLES) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import LIMITS
+from ..functions.binding import let
 from ..functions.text import strip, text
 
 
@@ -26,9 +27,8 @@ def token_chunks(tokens: Column, size: int = LIMITS.chunk_tokens, overlap: int =
 
 def split_paragraphs(c: Column | str) -> Column:
     """Pieces between blank lines where there are any, else lines, else the whole; stripped, without blank ones."""
-    body = text(c)
-    parts = F.when(F.contains(body, F.lit("\n\n")), F.split(body, "\n\n")).when(F.contains(body, F.lit("\n")), F.split(body, "\n")).otherwise(F.array(body))
-    return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
+    cut = lambda body: F.when(F.contains(body, F.lit("\n\n")), F.split(body, "\n\n")).when(F.contains(body, F.lit("\n")), F.split(body, "\n")).otherwise(F.array(body))
+    return F.filter(F.transform(let(text(c), cut), strip), lambda x: x != "")
 
 
 def pack_paragraphs(paras: Column, size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> Column:
@@ -41,14 +41,18 @@ def pack_paragraphs(paras: Column, size: int = LIMITS.chunk_chars, overlap: int
     closed = lambda s: F.when(s["buf"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["buf"]))))
     state = lambda done, buf, n: F.struct(done.alias("done"), buf.cast("string").alias("buf"), n.cast("int").alias("n"))
 
+    def cut(done: Column, p: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(p) / size).cast("int") - 1), lambda i: strip(F.substring(p, i * size + 1, F.lit(size))))
+        return state(F.concat(done, pieces), F.lit(None), F.lit(0))
+
+    def opened(done: Column, p: Column) -> Column:
+        tail = F.coalesce(strip(F.right(F.try_element_at(done, F.lit(-1)), F.lit(overlap))), F.lit("")) if overlap else F.lit("")
+        return let(tail, lambda t: state(done, F.when(t != "", F.concat(t, F.lit("\n\n"), p)).otherwise(p), F.when(t != "", F.length(t) + F.length(p) + 2).otherwise(F.length(p))))
+
     def step(s: Column, p: Column) -> Column:
         long = F.length(p)
-        pieces = F.transform(F.sequence(F.lit(0), F.ceil(long / size).cast("int") - 1), lambda i: strip(F.substring(p, i * size + 1, F.lit(size))))
-        cut = state(F.concat(closed(s), pieces), F.lit(None), F.lit(0))
         added = state(s["done"], F.when(s["buf"].isNull(), p).otherwise(F.concat(s["buf"], F.lit("\n\n"), p)), s["n"] + long + 2)
-        tail = F.coalesce(strip(F.right(F.try_element_at(closed(s), F.lit(-1)), F.lit(overlap))), F.lit("")) if overlap else F.lit("")
-        opened = state(closed(s), F.when(tail != "", F.concat(tail, F.lit("\n\n"), p)).otherwise(p), F.when(tail != "", F.length(tail) + long + 2).otherwise(long))
-        return F.when(long > size, cut).when(s["n"] + long + 2 <= size, added).otherwise(opened)
+        return F.when((long <= size) & (s["n"] + long + 2 <= size), added).otherwise(let(closed(s), lambda done: F.when(long > size, cut(done, p)).otherwise(opened(done, p))))
 
     none = state(F.array().cast("array<string>"), F.lit(None), F.lit(0))
     return F.aggregate(paras, none, step, closed)
@@ -56,8 +60,8 @@ def pack_paragraphs(paras: Column, size: int = LIMITS.chunk_chars, overlap: int
 
 def unique_prefixes(chunks: Column, prefix: int = LIMITS.dedup_prefix) -> Column:
     """The first chunk of each prefix, in order."""
-    heads = F.transform(chunks, lambda c: F.substring(c, 1, prefix))
-    return F.filter(chunks, lambda c, i: F.array_position(heads, F.substring(c, 1, prefix)) == i + 1)
+    heads = lambda all_: F.transform(all_, lambda c: F.substring(c, 1, prefix))
+    return let(chunks, lambda all_: let(heads(all_), lambda h: F.filter(all_, lambda c, i: F.array_position(h, F.substring(c, 1, prefix)) == i + 1)))
 
 
 def paragraph_chunks(c: Column | str, size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import LIMITS, TITLES
+from ..functions.binding import let
 from ..functions.text import evidence_block, normalize_text
 from .chunk import keep_first, running, word_tokens
 
@@ -27,8 +28,7 @@ def distinct_blocks(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
 
 def clip(c: Column, most: int = LIMITS.block_chars, slack: int = LIMITS.block_slack) -> Column:
     """Blocks longer than ``most + slack`` are cut to ``most`` and marked."""
-    body = normalize_text(c)
-    return F.when(F.length(body) > most + slack, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)
+    return let(normalize_text(c), lambda body: F.when(F.length(body) > most + slack, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body))
 
 
 def budget_clip(df: DataFrame, within: list[str], order: list[str], budget: int = LIMITS.budget_tokens, block: str = "block") -> DataFrame:

@@ -53,18 +53,21 @@ def mmr_order(sims: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> l
 
 
 def mmr_rerank(top: DataFrame, group: list[str], chunk_id: str, k: int = LIMITS.mmr_k, weight: float = LIMITS.mmr_lambda) -> DataFrame:
-    """(<group>, <chunk_id>, sim, pick): groups hold at most the top-N candidates, so one group is a small matrix."""
-    rows = top.select(*group, chunk_id, "sim", "rank", "emb")
-    schema = T.StructType([*(rows.schema[c] for c in (*group, chunk_id, "sim")), T.StructField("pick", T.IntegerType())])
-
-    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        vectors = np.array(pdf["emb"].tolist(), dtype=float)
-        order = mmr_order(pdf["sim"].to_numpy(float), vectors, k, weight)
-        out = pdf.iloc[order][[*group, chunk_id, "sim"]]
-        return out.assign(pick=np.arange(1, len(order) + 1, dtype="int32"))
-
-    return rows.groupBy(*group).applyInPandas(rerank, schema)
+    """(<group>, <chunk_id>, sim, pick): a group holds at most the top-N candidates and travels as one row, a small matrix."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", F.col(chunk_id).alias("chunk"), "sim", "emb")))
+    part = lambda name: F.transform("c", lambda x: x[name]).alias(f"_{name}")
+    rows = top.groupBy(*group).agg(ranked.alias("c")).select(*group, part("chunk"), part("sim"), part("emb"))
+    schema = T.StructType([*(top.schema[c] for c in (*group, chunk_id, "sim")), T.StructField("pick", T.IntegerType())])
+
+    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *key, chunks, sims, vectors in batch.itertuples(index=False, name=None):
+                places = mmr_order(np.asarray(sims, float), np.stack([np.asarray(v, float) for v in vectors]), k, weight)
+                out += [(*key, chunks[i], sims[i], n) for n, i in enumerate(places, 1)]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.mapInPandas(rerank, schema)
 
 
 def hashed_embedder(dim: int = 64, gram: int = 2) -> Callable[[list[str]], np.ndarray]:

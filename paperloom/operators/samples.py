@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import ASK, EVIDENCE_INTRO, LIMITS, QUALITY_TIP, SOURCE_HEAD, STYLE_EVIDENCE, STYLE_FULL, SYSTEM_EVIDENCE, SYSTEM_FULL
+from ..functions.binding import let
 from ..functions.text import normalize_text, strip, text
 from . import align
 from .chunk import paragraph_chunks
@@ -19,11 +20,11 @@ def message(role: str, content: Column) -> Column:
 
 def source_text(full_text: Column, title: Column, sections: Column) -> Column:
     """The full text, or where it is blank the title and the sections that are not, put together."""
-    parts = F.transform(F.map_entries(sections), lambda e: F.when(normalize_text(e["value"]) != "", F.concat(e["key"], F.lit("：\n"), normalize_text(e["value"]))))
-    head = F.when(normalize_text(title) != "", F.concat(F.lit("标题："), normalize_text(title)))
-    built = strip(F.array_join(F.concat(F.array(head), F.coalesce(parts, F.array().cast("array<string>"))), "\n\n"))
-    body = normalize_text(full_text)
-    return F.when(body != "", body).otherwise(built)
+    shown = lambda e: let(normalize_text(e["value"]), lambda v: F.when(v != "", F.concat(e["key"], F.lit("：\n"), v)))
+    head = let(normalize_text(title), lambda t: F.when(t != "", F.concat(F.lit("标题："), t)))
+    parts = F.coalesce(F.transform(F.map_entries(sections), shown), F.array().cast("array<string>"))
+    built = strip(F.array_join(F.concat(F.array(head), parts), "\n\n"))
+    return let(normalize_text(full_text), lambda body: F.when(body != "", body).otherwise(built))
 
 
 def chat_samples(reports: DataFrame, seeds: DataFrame, order: str = "ord", size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> DataFrame:
