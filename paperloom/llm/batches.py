@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .. import __name__ as PACKAGE
-
 
 def map_rows(df: DataFrame, schema: T.StructType | str, start: Callable[[], Callable[..., Iterable[tuple]]], rows_per_batch: int = 4096) -> DataFrame:
     """Apply a row-to-rows function in ``mapInArrow``.
@@ -20,7 +16,6 @@ def map_rows(df: DataFrame, schema: T.StructType | str, start: Callable[[], Call
     ``start`` runs once per task and returns the function, which gets the columns of one row as arguments and yields output
     tuples. Output goes out in bounded batches, so a long text never makes a task hold all its results at once.
     """
-    cloudpickle.register_pickle_by_value(sys.modules[PACKAGE])  # workers then need no copy of this package on their path
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
