@@ -1,20 +1,21 @@
 """Problem 3: same or near-same records in the training and the evaluation split.
 
-An edit-distance segment join. An evaluation string is cut into ``k + 1`` even segments, none shorter than ``segment``; a training
-string within ``k`` edits holds at least one of them unchanged, at a position moved by no more than the edits allowed. Instead of
-all its substrings a training string offers only their minimisers: of every window of ``segment`` characters the ``gram`` with
-the least hash. A segment that stands unchanged in both strings has the same minimiser in both, so the smaller index loses none
-of the matches. Position and length filters come next, then every candidate is verified by banded dynamic programming: edit
-distance at most ``most_edits`` of the longer string, where the band is that bound.
+Answers must be within the bound by themselves, so candidates are all pairs of a training and an evaluation class whose answers can
+be: every pair is tested, first by length, then by bit signatures of the answers' characters and of their grams of three. ``k``
+edits touch at most ``q * k`` grams of ``q`` characters, and signatures differ in no more bits than the texts in grams, so none of these tests
+can lose a pair. What is left is tested by the places of the grams and verified by banded dynamic programming: edit distance at most
+``most_edits`` of the longer string, where the band is that bound. The number of tests is the product of both tables' classes.
 
 A sentence of the passage that stands elsewhere does not differ, but costs its length twice in an edit distance. So a pair above the
 bound is measured again without the sentences that both passages have; answers are never reordered and must be within the bound
 by themselves.
 
 Strings are compared by class: rows with the same compared string are one class with its smallest identifier as representative,
-so copies cost one comparison. With ``segment=None`` the segments are as many as the edits allowed and one, and every substring
-is offered: then no pair within the bound can be missed, at the price of segments of about five characters, which is for small
-tables. With a given ``segment`` the same holds for every pair of which some segment is left unchanged. :func:`overlap_classes` returns the classes and the links between them, :func:`overlap_pairs` the
+so copies cost one comparison. With a given ``segment`` candidates come from a segment join instead, which grows with the tables and
+not with their product, but only sees pairs of which one stretch of about ``segment`` characters is unchanged: an evaluation string is
+cut into even segments, none shorter than ``segment``, and a training string offers the minimisers of its substrings (of every
+window of ``segment`` characters the ``gram`` with the least hash; an unchanged segment has the same one in both).
+:func:`overlap_classes` returns the classes and the links between them, :func:`overlap_pairs` the
 pairs of samples, :func:`overlap_report` the counts per split and source.
 
 Defined results: samples without messages, without a passage or without an answer have nothing to compare and no links. Marks, spacing,
@@ -38,6 +39,8 @@ from .batches import map_rows
 
 MOST_EDITS = 0.2
 SEGMENT, GRAM = 32, 20
+#: 64-bit words of the signatures of characters and of grams of three.
+CHAR_WORDS, GRAM_WORDS = 16, 64
 MARKS = re.compile(r"[\W_]+")
 ENDS = re.compile(r"[。！？!?；;\n]|\.(?=\s|\Z)")
 #: Lines of a user message that name persons, and the lines that frame the passage.
@@ -163,6 +166,38 @@ def too_far(a: str, b: str, bound: int) -> bool:
     return max(len(a), len(b)) - int(np.minimum(count(a), count(b)).sum()) > bound
 
 
+def signature(hashes: np.ndarray, words: int) -> list[int]:
+    """A set of bits, one drawn by each value together with how often it stood before."""
+    order = np.argsort(hashes, kind="stable")
+    own = hashes[order]
+    places = np.arange(len(own))
+    first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
+    before = (places - np.maximum.accumulate(np.where(first, places, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (own + before * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(mixed >> np.uint64(32)) % np.uint64(words * 64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def placed_grams(text: str) -> np.ndarray:
+    """Grams of three with their places, as sorted numbers: 40 bits of the hash, then the place."""
+    hashes = gram_hashes(text, 3)
+    return np.sort((hashes >> np.uint64(25) << np.uint64(24)).astype(np.int64) | np.arange(len(hashes)))
+
+
+def grams_too_far(one: np.ndarray, two: np.ndarray, bound: int) -> bool:
+    """A bound from below: a gram that no edit touches stands in the other text, moved by no more than the bound."""
+
+    def lost(a: np.ndarray, b: np.ndarray) -> int:
+        place = a & 0xFFFFFF
+        at = np.searchsorted(b, a - np.minimum(place, bound))
+        return int((b[np.minimum(at, len(b) - 1)] > a + bound).sum() + (at == len(b)).sum()) if len(b) else len(a)
+
+    return lost(one, two) > 3 * bound or lost(two, one) > 3 * bound
+
+
 def _texts(samples: DataFrame) -> DataFrame:
     said = lambda role: F.filter("messages", lambda m: m.role == role)
     return samples.select(F.col("sample_id").alias("id"), F.get(said("user"), F.lit(0))["content"].alias("user"), F.try_element_at(said("assistant"), F.lit(-1))["content"].alias("answer")).where("user is not null and answer is not null")
@@ -186,7 +221,7 @@ def _keyed(samples: DataFrame) -> DataFrame:
     return checkpoint(map_rows(_texts(samples), "id bigint, class binary", start))
 
 
-def _signed(samples: DataFrame, evaluation: bool, segment: int | None, gram: int, most_edits: float) -> DataFrame:
+def _signed(samples: DataFrame, evaluation: bool, segment: int, gram: int) -> DataFrame:
     """(rep, size, h, at): one row per class with its length, and the hashes and positions of its grams."""
 
     def start():
@@ -195,13 +230,8 @@ def _signed(samples: DataFrame, evaluation: bool, segment: int | None, gram: int
             if not source or not reply:
                 return
             text = source + reply
-            if segment is None:
-                own = max(2, int(1 / most_edits) - 1)
-                hashes = gram_hashes(text, own)
-                at = np.arange(0, len(hashes), own if evaluation else 1)
-            else:
-                hashes = gram_hashes(text, gram)
-                at = np.unique([a + int(hashes[a : b - gram + 1].argmin()) for a, b in segments(text, segment)]).astype(int) if evaluation else minimizers(text, segment, gram)
+            hashes = gram_hashes(text, gram)
+            at = np.unique([a + int(hashes[a : b - gram + 1].argmin()) for a, b in segments(text, segment)]).astype(int) if evaluation else minimizers(text, segment, gram)
             yield key, _digest(text), len(text), hashes.view(np.int64)[at].tolist(), at.tolist()
 
         return work
@@ -210,16 +240,68 @@ def _signed(samples: DataFrame, evaluation: bool, segment: int | None, gram: int
     return rows.groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("h").alias("h"), F.first("at").alias("at"))
 
 
-def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int | None, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verified links (a, b, edits) between class representatives, and the members of both sides' classes (id, rep)."""
+def _segment_pairs(train: DataFrame, valid: DataFrame, most_edits: float, segment: int, gram: int) -> DataFrame:
+    """(a, b): class representatives that share the gram of a segment."""
 
     def grams(samples: DataFrame, evaluation: bool, rep: str, size: str, at: str) -> DataFrame:
-        each = _signed(samples, evaluation, segment, gram, most_edits).select("rep", "size", F.explode(F.arrays_zip("h", "at")).alias("g"))
+        each = _signed(samples, evaluation, segment, gram).select("rep", "size", F.explode(F.arrays_zip("h", "at")).alias("g"))
         return each.select(F.col("rep").alias(rep), F.col("size").alias(size), F.col("g.h").alias("h"), F.col("g.at").alias(at))
 
     bound = F.floor(F.greatest("na", "nb") * F.lit(most_edits))
     near = (F.abs(F.col("na") - F.col("nb")) <= bound) & (F.abs(F.col("pa") - F.col("pb")) <= bound)
-    pairs = grams(train, False, "a", "na", "pa").join(grams(valid, True, "b", "nb", "pb"), "h").where(near).select("a", "b").distinct()
+    return grams(train, False, "a", "na", "pa").join(grams(valid, True, "b", "nb", "pb"), "h").where(near).select("a", "b").distinct()
+
+
+def _all_pairs(train: DataFrame, valid: DataFrame, mt: DataFrame, mv: DataFrame, most_edits: float) -> DataFrame:
+    """(a, b): all class representatives whose answers are within the bound and whose lengths can be."""
+
+    def side(samples: DataFrame, members: DataFrame, x: str) -> DataFrame:
+        def start():
+            def work(key, user, answer):
+                source, reply = compared(user, answer)
+                chars = gram_hashes(reply, 1)
+                yield (key, len(source + reply), len(reply), reply, signature(gram_hashes(reply, 3), GRAM_WORDS), *signature(chars, CHAR_WORDS))
+
+            return work
+
+        words = ", ".join(f"c{x}{i} bigint" for i in range(CHAR_WORDS))
+        reps = members.where("id = rep").select("id")
+        return checkpoint(map_rows(_texts(samples).join(reps, "id", "left_semi"), f"{x} bigint, n{x} int, r{x} int, t{x} string, g{x} array<bigint>, {words}", start, 256))
+
+    left, right = side(train, mt, "a"), side(valid, mv, "b")
+    right = right.repartition(right.count() // 2048 + 1)  # the join holds 4096 rows of a partition as they are and writes down more
+    within = lambda n: f"floor(greatest({n}a, {n}b) * {most_edits!r}D)"
+    differ = " + ".join(f"bit_count(ca{i} ^ cb{i})" for i in range(CHAR_WORDS))
+    tests = (
+        f"abs(na - nb) <= {within('n')}",
+        f"abs(ra - rb) <= {within('r')}",
+        f"{differ} <= 2 * {within('r')} - abs(ra - rb)",
+        f"aggregate(zip_with(ga, gb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= 6 * {within('r')}",
+    )
+    near = left.join(right, F.expr(" AND ".join(tests))).select("a", "b", "ta", "tb")
+
+    def start():
+        placed = lru_cache(4096)(placed_grams)
+
+        def work(a, b, one, two):
+            bound = int(most_edits * max(len(one), len(two)))
+            if one == two or not grams_too_far(placed(one), placed(two), bound) and banded_distance(one, two, bound) is not None:
+                yield a, b
+
+        return work
+
+    return map_rows(near, "a bigint, b bigint", start)
+
+
+def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int | None, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links (a, b, edits) between class representatives, and the members of both sides' classes (id, rep)."""
+
+    def members(samples: DataFrame) -> DataFrame:
+        keys = _keyed(samples)
+        return keys.join(keys.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep")
+
+    mt, mv = members(train), members(valid)
+    pairs = _all_pairs(train, valid, mt, mv, most_edits) if segment is None else _segment_pairs(train, valid, most_edits, segment, gram)
     left = _texts(train).select(F.col("id").alias("a"), F.col("user").alias("user_a"), F.col("answer").alias("answer_a"))
     right = _texts(valid).select(F.col("id").alias("b"), F.col("user").alias("user_b"), F.col("answer").alias("answer_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "user_a", "answer_a", "user_b", "answer_b")
@@ -251,16 +333,10 @@ def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int |
 
         return work
 
-    links = map_rows(full, "a bigint, b bigint, edits int", start)
-
-    def members(samples: DataFrame) -> DataFrame:
-        keys = _keyed(samples)
-        return keys.join(keys.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep")
-
-    return links, members(train), members(valid)
+    return map_rows(full, "a bigint, b bigint, edits int", start), mt, mv
 
 
-def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = SEGMENT, gram: int = GRAM) -> DataFrame:
+def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = None, gram: int = GRAM) -> DataFrame:
     """(sample_a, sample_b, edits): a training and an evaluation sample with the same passage and answer."""
     links, mt, mv = _links(train, valid, most_edits, segment, gram)
     return (
@@ -270,7 +346,7 @@ def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_E
     )
 
 
-def overlap_classes(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = SEGMENT, gram: int = GRAM) -> DataFrame:
+def overlap_classes(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = None, gram: int = GRAM) -> DataFrame:
     """(sample_id, split, class_id, n_links): one row per sample with its class and the number of linked classes of the other split."""
     links, mt, mv = _links(train, valid, most_edits, segment, gram)
     count = lambda c: links.groupBy(F.col(c).alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))

@@ -178,6 +178,31 @@ def test_exact_join_loses_nothing(spark):
     assert 500 not in classes
 
 
+def test_query_finds_scattered_edits(spark):
+    """As the query calls it: an edit in every ten characters leaves no longer stretch as it was."""
+    draw = random.Random(12)
+    text = lambda n: "".join(chr(0x4E00 + draw.randrange(900)) for _ in range(n))
+    edited = lambda t, every: "".join("换" if i % every == every - 1 else c for i, c in enumerate(t))
+    base = [(text(300), text(120)) for _ in range(6)] + [(text(200).replace("换", ""), "a plain answer in a language with spaces " * 3)]
+    row = lambda k, s, a: (k, [("user", f"写\n{s}"), ("assistant", a)], None)
+    t = spark.createDataFrame([row(i, *x) for i, x in enumerate(base)], SAMPLE)
+    v = spark.createDataFrame([row(100 + i, edited(s, 10), edited(a, 10)) for i, (s, a) in enumerate(base)] + [row(200 + i, edited(s, 3), edited(a, 3)) for i, (s, a) in enumerate(base)], SAMPLE)
+    found = overlap.overlap_pairs(t, v).select("sample_a", "sample_b").collect()
+    assert sorted(map(tuple, found)) == [(i, 100 + i) for i in range(len(base))]
+
+
+def test_signatures_lose_nothing():
+    draw = random.Random(13)
+    for _ in range(400):
+        a = "".join(draw.choice("abcd甲乙") for _ in range(draw.randrange(1, 90)))
+        b = varied(draw, a, draw.choice([0.05, 0.1, 0.3])) or "b"
+        k = distance(a, b)
+        for q, words, least in ((1, overlap.CHAR_WORDS, abs(len(a) - len(b))), (3, overlap.GRAM_WORDS, 0)):
+            one, two = (overlap.signature(overlap.gram_hashes(x, q), words) for x in (a, b))
+            assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(one, two)) <= 2 * q * k - least
+        assert not overlap.grams_too_far(overlap.placed_grams(a), overlap.placed_grams(b), k)
+
+
 def test_moved_sentences_do_not_differ(spark):
     draw = random.Random(9)
     parts = ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(40)) + "。" for _ in range(8)]
