@@ -14,7 +14,8 @@ Strings are compared by class: rows with the same compared string are one class
 so copies cost one comparison. With a given ``segment`` candidates come from a segment join instead, which grows with the tables and
 not with their product, but only sees pairs of which one stretch of about ``segment`` characters is unchanged: an evaluation string is
 cut into even segments, none shorter than ``segment``, and a training string offers the minimisers of its substrings (of every
-window of ``segment`` characters the ``gram`` with the least hash; an unchanged segment has the same one in both).
+window of ``segment`` characters the ``gram`` with the least hash; an unchanged segment has the same one in both). Pairs with a
+string shorter than a segment are then tested each. Equal classes are always linked by their digest.
 :func:`overlap_classes` returns the classes and the links between them, :func:`overlap_pairs` the
 pairs of samples, :func:`overlap_report` the counts per split and source.
 
@@ -252,13 +253,15 @@ def _segment_pairs(train: DataFrame, valid: DataFrame, most_edits: float, segmen
     return grams(train, False, "a", "na", "pa").join(grams(valid, True, "b", "nb", "pb"), "h").where(near).select("a", "b").distinct()
 
 
-def _all_pairs(train: DataFrame, valid: DataFrame, mt: DataFrame, mv: DataFrame, most_edits: float) -> DataFrame:
-    """(a, b): all class representatives whose answers are within the bound and whose lengths can be."""
+def _all_pairs(train: DataFrame, valid: DataFrame, mt: DataFrame, mv: DataFrame, most_edits: float, below: int | None = None) -> DataFrame:
+    """(a, b): all class representatives whose answers are within the bound and whose lengths can be; or only those of which one is shorter than ``below``."""
 
     def side(samples: DataFrame, members: DataFrame, x: str) -> DataFrame:
         def start():
             def work(key, user, answer):
                 source, reply = compared(user, answer)
+                if below is not None and (1 - most_edits) * len(source + reply) > below:
+                    return
                 chars = gram_hashes(reply, 1)
                 yield (key, len(source + reply), len(reply), reply, signature(gram_hashes(reply, 3), GRAM_WORDS), *signature(chars, CHAR_WORDS))
 
@@ -273,6 +276,7 @@ def _all_pairs(train: DataFrame, valid: DataFrame, mt: DataFrame, mv: DataFrame,
     within = lambda n: f"floor(greatest({n}a, {n}b) * {most_edits!r}D)"
     differ = " + ".join(f"bit_count(ca{i} ^ cb{i})" for i in range(CHAR_WORDS))
     tests = (
+        *(() if below is None else (f"least(na, nb) < {below}",)),
         f"abs(na - nb) <= {within('n')}",
         f"abs(ra - rb) <= {within('r')}",
         f"{differ} <= 2 * {within('r')} - abs(ra - rb)",
@@ -298,10 +302,14 @@ def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int |
 
     def members(samples: DataFrame) -> DataFrame:
         keys = _keyed(samples)
-        return keys.join(keys.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep")
+        return keys.join(keys.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep", "class")
 
     mt, mv = members(train), members(valid)
-    pairs = _all_pairs(train, valid, mt, mv, most_edits) if segment is None else _segment_pairs(train, valid, most_edits, segment, gram)
+    pairs = _all_pairs(train, valid, mt, mv, most_edits, segment)
+    if segment is not None:
+        pairs = pairs.union(_segment_pairs(train, valid, most_edits, segment, gram))
+    reps = lambda m, x: m.where("id = rep").select("class", F.col("rep").alias(x))
+    pairs = pairs.union(reps(mt, "a").join(reps(mv, "b"), "class").select("a", "b")).distinct()
     left = _texts(train).select(F.col("id").alias("a"), F.col("user").alias("user_a"), F.col("answer").alias("answer_a"))
     right = _texts(valid).select(F.col("id").alias("b"), F.col("user").alias("user_b"), F.col("answer").alias("answer_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "user_a", "answer_a", "user_b", "answer_b")
@@ -333,7 +341,7 @@ def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int |
 
         return work
 
-    return map_rows(full, "a bigint, b bigint, edits int", start), mt, mv
+    return map_rows(full, "a bigint, b bigint, edits int", start), mt.drop("class"), mv.drop("class")
 
 
 def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = None, gram: int = GRAM) -> DataFrame:

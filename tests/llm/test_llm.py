@@ -191,6 +191,15 @@ def test_query_finds_scattered_edits(spark):
     assert sorted(map(tuple, found)) == [(i, 100 + i) for i in range(len(base))]
 
 
+@pytest.mark.parametrize("segment", [None, 32])
+def test_short_samples_have_links(spark, segment):
+    row = lambda k, s, a: (k, [("user", f"写\n{s}"), ("assistant", a)], None)
+    t = spark.createDataFrame([row(1, "短的原文", "一个回答"), row(2, "乙丙丁", "甲"), row(3, "甲乙丙丁戊己庚辛壬", "子丑寅卯辰巳"), row(4, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", "秋收冬藏闰余成岁律吕调阳云")], SAMPLE)
+    v = spark.createDataFrame([row(11, "短的原文", "一个回答"), row(12, "乙丙", "丁甲"), row(13, "甲乙丙丁戊己庚辛", "子丑寅卯辰午"), row(14, "天地玄黄宇宙洪荒日月盈昃辰宿列寒来暑往", "秋收冬藏闰余成岁律吕调阳"), row(15, "别的东西", "没有关系")], SAMPLE)
+    found = overlap.overlap_pairs(t, v, segment=segment).select("sample_a", "sample_b").collect()
+    assert sorted(map(tuple, found)) == [(1, 11), (2, 12), (3, 13), (4, 14)]
+
+
 def test_signatures_lose_nothing():
     draw = random.Random(13)
     for _ in range(400):
