@@ -284,6 +284,14 @@ def test_repetition_against_brute_force(spark, data):
     assert found == {r["ord"] for r in real.collect() if (x := repeated(r["sections"]))[1] and x[0] / x[1] >= 0.3}
 
 
+def test_a_letter_after_a_round_code_is_no_break(spark):
+    cases = [{"a": "最Apple手机开App一a需Zoom退q耀x" * 6}, {"a": "最Apple手机开App一a需Zoom退q" * 2, "b": "最Apple手机开App一a需Zoom退q"}]
+    df = spark.createDataFrame(list(enumerate(cases)), "ord int, sections map<string,string>")
+    for r in repetition.repetition_report(df).collect():
+        covered, n = repeated(cases[r["ord"]])
+        assert abs(r["repeated_share"] - covered / n) < 1e-5
+
+
 # 5
 
 
