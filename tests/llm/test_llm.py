@@ -292,6 +292,15 @@ def test_a_letter_after_a_round_code_is_no_break(spark):
         assert abs(r["repeated_share"] - covered / n) < 1e-5
 
 
+def test_repetition_beyond_a_million_letters(spark):
+    draw = random.Random(8)
+    tail = "".join(chr(0x4E00 + draw.randrange(8000)) for _ in range(5000))
+    text = "".join(chr(0x4E00 + draw.randrange(20000)) for _ in range((1 << 20) + 100)) + tail * 101
+    r = repetition.repetition_report(spark.createDataFrame([(1, {"a": text})], "ord int, sections map<string,string>")).first()
+    assert abs(r["repeated_share"] - 500_000 / len(text)) < 1e-5
+    assert r["repeated_content"]
+
+
 # 5
 
 
