@@ -34,6 +34,8 @@ DOUBLE_SURNAMES = "欧阳 上官 司马 诸葛 东方 令狐 公冶 钟离 澹
 SINGLE_SURNAMES = (
     "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
     "佘亓逄郗简麴缑厍鄢蔺游闵卓宓柯晏迟冼鹿訾桑羿虞仉漆郁茹邰岑柏殷俞柳鲍费廉褚卫华严尤施戚窦章云葛奚滕"
+    "陶喻郎鲁韦昌苗凤酆倪毕邬安卞齐伍卜穆湛祁禹狄臧谈茅庞纪舒屈祝阮蓝季麻强路娄童颜梅盛刁骆樊凌霍昝莫裘缪宗宣贲杭洪诸左吉钮嵇邢滑裴荣翁荀羊於惠甄芮靳汲邴糜富巫乌焦巴牧隗蓬班仰秋仲伊宫宁仇栾甘钭厉戎符景詹韶郜蓟薄蒲鄂咸籍屠蒙阴"
+    "胥苍闻莘党翟贡劳姬申扶堵冉宰郦雍郤璩桂濮牛寿扈燕冀郏浦温庄柴瞿宦戈庾衡耿弘匡寇禄阙东欧殳沃蔚夔巩聂晁冷辛阚饶毋乜鞠关蒯荆竺逯桓肖覃闫付仝岳牟佟苑涂兰邸晋楚褟占揭揣芦邝卿甯苟帅尧栗"
 )
 #: What stands before a full name, what stands behind one.
 BEFORE = (

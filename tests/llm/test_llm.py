@@ -442,3 +442,10 @@ def test_masking_leaves_the_rest(spark):
     assert rows == [(1, "phone", 1)] * 2
     long = spark.createDataFrame([(1, "字" * 300000 + "邮箱a@b.cn")], "doc_id bigint, text string")
     assert personal.find_personal(long).first()["start"] == 300002
+
+
+def test_common_surnames_are_known():
+    known = personal.anchors()
+    for surname in "肖洪韦莫关翟覃倪庄齐邢阮庞":
+        text = f"如有疑问，联系人：{surname}建国老师。"
+        assert [text[a:b] for a, b, kind in personal.occurrences(text, known) if kind == "person"] == [f"{surname}建国"]
