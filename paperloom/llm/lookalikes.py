@@ -52,11 +52,12 @@ def _ranges() -> tuple[str, str]:
 
 
 def _accents() -> tuple[str, str]:
-    """Composed letters to their base letter; syllable blocks, which have no base, are left to the pattern of :func:`coarse`."""
+    """Letters that decompose to their base letter; syllable blocks, which have no base, are left to the pattern of :func:`coarse`."""
     pairs = {}
-    for code in range(0xC0, min(0x3000, sys.maxunicode)):
+    mark = lambda x: unicodedata.category(x)[0] == "M"
+    for code in range(0xC0, sys.maxunicode + 1):
         parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and not unicodedata.combining(parts[0]) and all(unicodedata.combining(x) for x in parts[1:]):
+        if parts != chr(code) and not mark(parts[0]) and all(mark(x) for x in parts[1:]):
             pairs[chr(code)] = parts[0]
     return "".join(pairs), "".join(pairs.values())
 

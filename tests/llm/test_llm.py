@@ -449,3 +449,9 @@ def test_common_surnames_are_known():
     for surname in "肖洪韦莫关翟覃倪庄齐邢阮庞":
         text = f"如有疑问，联系人：{surname}建国老师。"
         assert [text[a:b] for a, b, kind in personal.occurrences(text, known) if kind == "person"] == [f"{surname}建国"]
+
+
+def test_composed_and_decomposed_kana_look_alike(spark):
+    texts = ["が", "か\u3099", "ガ", "ｶﾞ", "\U0001109a", "\U00011099\U000110ba", "\u2126", "\u03a9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord int, t string")
+    assert sorted((r["ord_a"], r["ord_b"]) for r in lookalikes.look_alike_pairs(df, "ord", ("t",)).collect()) == [(0, 1), (2, 3), (4, 5), (6, 7)]
