@@ -10,7 +10,7 @@ Latin letters throughout, since a few words of a language with spaces say as lit
 Size: passages are a fixed evaluation set. Each pass broadcasts at most ``windows_per_pass`` windows (about 100 MB); a larger set is
 worked off in as many passes over the documents as it needs, so nothing grows with the corpus or beyond its bound.
 
-Defined results: null, blank and very short passages hold no window and match nothing; a passage shorter than a window is compared
+Defined results: null, blank and very short passages hold no window and match nothing; a passage shorter than its window is compared
 as a whole. Null texts match nothing. Repeated documents are each reported. Empty tables give empty results.
 """
 
@@ -28,8 +28,6 @@ from .batches import map_rows
 MARKS = re.compile(r"[\W_]+")
 LATIN = re.compile(r"[a-z0-9]+\Z")
 WINDOW, LATIN_WINDOW, LEAST_SHARE = 12, 30, 0.5
-#: A passage is verified where its window hits alone cover this part of ``least_share``; small changes can hide the rest.
-HITS_ENOUGH = 0.5
 
 
 def steps(most: int) -> tuple[tuple[int, int], ...]:
@@ -58,7 +56,7 @@ def traced(text: str) -> tuple[str, list[int]]:
 
 def passage_windows(text: str, window: int = WINDOW, latin_window: int = LATIN_WINDOW):
     """(place, window) pairs of a normalised passage."""
-    if 4 <= len(text) < window:
+    if 4 <= len(text) < (latin_window if LATIN.match(text) else window):
         yield 0, text
     for k in range(len(text) - window + 1):
         part = text[k : k + window]
@@ -116,13 +114,6 @@ class Windows:
         self.at, self.sizes = dict(at), sorted({len(x) for x in at})
         self.window, self.latin_window = window, latin_window
 
-    def held(self, key, hits) -> float:
-        total, end = 0, 0
-        for place, size in sorted({(b, n) for _, b, n in hits}):
-            total += max(0, place + size - max(place, end))
-            end = max(end, place + size)
-        return total / len(self.items[key])
-
     def __call__(self, doc: str, least: float):
         """(passage, share, stretches) for all passages that the normalised document holds at least a share of."""
         at, hits = self.at, defaultdict(list)
@@ -133,8 +124,6 @@ class Windows:
                 for key, place in at[doc[k : k + size]]:
                     hits[key].append((k, place, size))
         for key, own in hits.items():
-            if self.held(key, own) < HITS_ENOUGH * least:
-                continue
             share, parts = stretches(doc, self.items[key], own)
             if share >= least:
                 yield key, share, parts

@@ -455,3 +455,13 @@ def test_composed_and_decomposed_kana_look_alike(spark):
     texts = ["が", "か\u3099", "ガ", "ｶﾞ", "\U0001109a", "\U00011099\U000110ba", "\u2126", "\u03a9"]
     df = spark.createDataFrame(list(enumerate(texts)), "ord int, t string")
     assert sorted((r["ord_a"], r["ord_b"]) for r in lookalikes.look_alike_pairs(df, "ord", ("t",)).collect()) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+
+
+def test_every_hit_passage_is_verified():
+    draw = random.Random(15)
+    letters = [chr(0x4E00 + draw.randrange(8000)) for _ in range(120)]
+    held = "".join("改" if i > 12 and i % 9 == 0 else c for i, c in enumerate(letters))
+    windows = leakage.Windows([(1, "".join(letters)), (2, "ashortlatinpassage")], leakage.WINDOW, leakage.LATIN_WINDOW)
+    assert [key for key, _, _ in windows("前文" + held + "后文", 0.5)] == [1]
+    assert [(key, share) for key, share, _ in windows("before" + "ashortlatinpassage" + "behind", 0.5)] == [(2, 1.0)]
+    assert not list(windows("".join(letters[:14]) + "其余都是别的文字" * 9, 0.5))
