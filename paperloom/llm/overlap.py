@@ -1,25 +1,22 @@
 """Problem 3: same or near-same records in the training and the evaluation split.
 
-Answers must be within the bound by themselves, so candidates are all pairs of a training and an evaluation class whose answers can
-be: every pair is tested, first by length, then by bit signatures of the answers' characters and of their grams of three. ``k``
-edits touch at most ``q * k`` grams of ``q`` characters, and signatures differ in no more bits than the texts in grams, so none of these tests
-can lose a pair. What is left is tested by the places of the grams and verified by banded dynamic programming: edit distance at most
-``most_edits`` of the longer string, where the band is that bound. The number of tests is the product of both tables' classes.
+Strings are compared by class: rows with the same compared string are one class with its smallest identifier as representative,
+so copies cost one comparison. Equal classes of both splits are linked by their digest. The others go through an edit-distance segment
+join in blocks: the answers of the evaluation classes are cut into segments, of which ``k + 1`` take part, and the substrings of the training
+answers are matched against them at the places that ``k`` edits allow (:mod:`.segments`). The evaluation set is worked off in blocks of
+bounded size against all training classes. A pair that is left is tested by the counts of its characters and the places of its grams, neither
+of which can lose a pair, and verified by banded dynamic programming: edit distance at most ``most_edits`` of the longer string,
+where the band is that bound. Answers are cut and not whole strings because answers must be within the bound by themselves.
 
 A sentence of the passage that stands elsewhere does not differ, but costs its length twice in an edit distance. So a pair above the
 bound is measured again without the sentences that both passages have; answers are never reordered and must be within the bound
 by themselves.
 
-Strings are compared by class: rows with the same compared string are one class with its smallest identifier as representative,
-so copies cost one comparison. With a given ``segment`` candidates come from a segment join instead, which grows with the tables and
-not with their product, but only sees pairs of which one stretch of about ``segment`` characters is unchanged: an evaluation string is
-cut into even segments, none shorter than ``segment``, and a training string offers the minimisers of its substrings (of every
-window of ``segment`` characters the ``gram`` with the least hash; an unchanged segment has the same one in both). Pairs with a
-string shorter than a segment are then tested each. Equal classes are always linked by their digest.
 :func:`overlap_classes` returns the classes and the links between them, :func:`overlap_pairs` the
 pairs of samples, :func:`overlap_report` the counts per split and source.
 
-Defined results: samples without messages, without a passage or without an answer have nothing to compare and no links. Marks, spacing,
+Defined results: samples without messages, without a passage or without an answer have nothing to compare and no links. Several user
+messages are one; of several answers the last counts. A user message of one line is all passage. Marks, spacing,
 width and case do not count. Repeated rows are members of one class. An empty table gives no links.
 """
 
@@ -29,6 +26,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .batches import map_rows
+from .batches import map_rows, map_stream
+from .segments import SegmentIndex, codes_of, hashed
 
 MOST_EDITS = 0.2
-SEGMENT, GRAM = 32, 20
-#: 64-bit words of the signatures of characters and of grams of three.
-CHAR_WORDS, GRAM_WORDS = 16, 64
+#: 64-bit words of the signature of a string's characters.
+SIGNATURE_WORDS = 16
+#: Strings of a block of evaluation classes, of a pack of training classes, and the characters that close either sooner.
+BLOCK, PACK, MOST_CHARS = 8192, 16384, 1 << 23
 MARKS = re.compile(r"[\W_]+")
 ENDS = re.compile(r"[。！？!?；;\n]|\.(?=\s|\Z)")
 #: Lines of a user message that name persons, and the lines that frame the passage.
@@ -53,9 +53,9 @@ FRAMES = re.compile(r"^\s*(?:-{3,}|={3,}|[【\[](?:原文|材料|正文|报告)[
 
 
 def passage(message: str) -> str:
-    """The source passage of a user message: without the instruction, frames and lines on persons."""
+    """The source passage of a user message: without the instruction, frames and lines on persons. A single line is all passage."""
     lines = message.strip().split("\n")
-    return "\n".join(x for x in lines[1:] if not PERSONS.match(x) and not FRAMES.match(x))
+    return "\n".join(x for x in lines[len(lines) > 1 :] if not PERSONS.match(x) and not FRAMES.match(x))
 
 
 def compared(user: str | None, answer: str | None) -> tuple[str, str]:
@@ -85,48 +85,18 @@ def leftover(one: list[str], two: list[str]) -> tuple[str, str]:
     return rest(one), rest(two)
 
 
-def gram_hashes(text: str, gram: int) -> np.ndarray:
-    """A well mixed 64-bit hash of every ``gram`` characters."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    if len(codes) < gram:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(codes) - gram + 1, np.uint64)
-        for i in range(gram):
-            total = total * np.uint64(0x100000001B3) + codes[i : len(codes) - gram + 1 + i] * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        total ^= total >> np.uint64(29)
-    return total
-
-
-def minimizers(text: str, segment: int = SEGMENT, gram: int = GRAM) -> np.ndarray:
-    """Positions of the least gram of every window of ``segment`` characters; of equal ones the first."""
-    hashes = gram_hashes(text, gram)
-    width = segment - gram + 1
-    if len(hashes) < width:
-        return np.empty(0, np.int64)
-    best = np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(len(hashes) - width + 1)
-    return np.unique(best)
-
-
-def segments(text: str, segment: int = SEGMENT) -> list[tuple[int, int]]:
-    """Start and end of the even segments of an evaluation string."""
-    count = len(text) // segment
-    cuts = [i * len(text) // count for i in range(count + 1)] if count else []
-    return list(zip(cuts, cuts[1:]))
-
-
 def banded_distance(a: str, b: str, bound: int) -> int | None:
-    """Edit distance, or None where it is above the bound. Columns are bit vectors over the band's diagonals.
+    """Edit distance, or None where it is above the bound.
 
-    The vertical differences of one column of the table are two integers; a step shifts the band down by one row (banded form of
-    the bit-parallel recurrence). Outside the band of ``bound`` diagonals to each side no alignment within the bound can run.
+    Only the band of ``bound`` diagonals to each side of the main one is held, since no alignment within the bound leaves it: the
+    vertical differences of a column are two integers of ``2 * bound + 1`` bits, of which bit ``t`` is row ``j - bound + t`` of column
+    ``j``, and a step computes a column by the bit-parallel recurrence of Myers and Hyyrö and moves the band down by one row. What lies below the
+    band counts as one more per row, which is never too little. The distance is followed along the band's last diagonal down to the
+    last row, and then along that row.
     """
     if abs(len(a) - len(b)) > bound:
         return None
-    start = 0
-    most = min(len(a), len(b))
+    start, most = 0, min(len(a), len(b))
     while start < most and a[start] == b[start]:
         start += 1
     end = 0
@@ -134,30 +104,29 @@ def banded_distance(a: str, b: str, bound: int) -> int | None:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
-        distance = max(len(a), len(b))
-        return distance if distance <= bound else None
-    rows, bound = len(a), min(bound, max(len(a), len(b)))
-    places: dict[str, int] = {}
+        return max(len(a), len(b))
+    rows, columns = len(a), len(b)
+    bound = min(bound, max(rows, columns))
+    where: dict[str, int] = {}
     for i, char in enumerate(a):
-        places[char] = places.get(char, 0) | 1 << i
-    up, down, score = (1 << rows) - 1, 0, rows
-    whole, top = (1 << rows) - 1, 1 << rows - 1
-    left = len(b)
-    for char in b:
-        left -= 1
-        same = places.get(char, 0)
-        v = same | down
-        h = (((same & up) + up) ^ up) | same
-        plus = down | ~(h | up) & whole
-        minus = up & h
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        if score - left > bound:
+        where[char] = where.get(char, 0) | 1 << i
+    band, last = (1 << 2 * bound + 1) - 1, 1 << 2 * bound
+    # Column 1: rows above 0 have no difference, the others one each.
+    up, down, score = band >> bound << bound, 0, min(bound, rows)
+    for j in range(1, columns + 1):
+        same, off = where.get(b[j - 1], 0), j - bound - 1
+        same = (same >> off if off >= 0 else same << -off) & band
+        flat = ((((same & up) + up) ^ up) | same | down) & band
+        right, left = down | ~(flat | up) & band, flat & up
+        if j + bound <= rows:
+            score += not flat & last
+        else:
+            bit = 1 << rows - j + bound
+            score += bool(right & bit) - bool(left & bit)
+        if score - (columns - max(j, rows - bound)) > bound:
             return None
-        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
-        up, down = minus | ~(v | plus) & whole, plus & v
+        flat >>= 1
+        up, down = (left | ~(flat | right)) & band, flat & right
     return score if score <= bound else None
 
 
@@ -167,10 +136,11 @@ def too_far(a: str, b: str, bound: int) -> bool:
     return max(len(a), len(b)) - int(np.minimum(count(a), count(b)).sum()) > bound
 
 
-def signature(hashes: np.ndarray, words: int) -> list[int]:
-    """A set of bits, one drawn by each value together with how often it stood before."""
-    order = np.argsort(hashes, kind="stable")
-    own = hashes[order]
+def signature(text: str, words: int = SIGNATURE_WORDS) -> np.ndarray:
+    """A set of bits, one drawn by each character together with how often it stood before. An edit changes two bits at most."""
+    values = hashed(codes_of(text), 1)
+    order = np.argsort(values, kind="stable")
+    own = values[order]
     places = np.arange(len(own))
     first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.empty(0, bool)
     before = (places - np.maximum.accumulate(np.where(first, places, 0))).astype(np.uint64)
@@ -179,20 +149,20 @@ def signature(hashes: np.ndarray, words: int) -> list[int]:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     bits = np.zeros(words * 64, np.uint8)
     bits[(mixed >> np.uint64(32)) % np.uint64(words * 64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+    return np.packbits(bits).view(np.uint64)
 
 
 def placed_grams(text: str) -> np.ndarray:
-    """Grams of three with their places, as sorted numbers: 40 bits of the hash, then the place."""
-    hashes = gram_hashes(text, 3)
-    return np.sort((hashes >> np.uint64(25) << np.uint64(24)).astype(np.int64) | np.arange(len(hashes)))
+    """Grams of three with their places, as sorted numbers: 31 bits of the hash, then the place."""
+    hashes = hashed(codes_of(text), 3)
+    return np.sort((hashes >> np.uint64(33)).astype(np.int64) << 32 | np.arange(len(hashes)))
 
 
 def grams_too_far(one: np.ndarray, two: np.ndarray, bound: int) -> bool:
     """A bound from below: a gram that no edit touches stands in the other text, moved by no more than the bound."""
 
     def lost(a: np.ndarray, b: np.ndarray) -> int:
-        place = a & 0xFFFFFF
+        place = a & 0xFFFFFFFF
         at = np.searchsorted(b, a - np.minimum(place, bound))
         return int((b[np.minimum(at, len(b) - 1)] > a + bound).sum() + (at == len(b)).sum()) if len(b) else len(a)
 
@@ -201,115 +171,100 @@ def grams_too_far(one: np.ndarray, two: np.ndarray, bound: int) -> bool:
 
 def _texts(samples: DataFrame) -> DataFrame:
     said = lambda role: F.filter("messages", lambda m: m.role == role)
-    return samples.select(F.col("sample_id").alias("id"), F.get(said("user"), F.lit(0))["content"].alias("user"), F.try_element_at(said("assistant"), F.lit(-1))["content"].alias("answer")).where("user is not null and answer is not null")
+    user = F.array_join(F.transform(F.filter(said("user"), lambda m: m.content.isNotNull()), lambda m: m.content), "\n")
+    return samples.select(F.col("sample_id").alias("id"), F.when(F.size(said("user")) > 0, user).alias("user"), F.try_element_at(said("assistant"), F.lit(-1))["content"].alias("answer")).where("user is not null and answer is not null")
 
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _keyed(samples: DataFrame) -> DataFrame:
-    """(id, class): the compared string's digest. Small rows that several steps need, hence written down once."""
+def _prepared(samples: DataFrame) -> DataFrame:
+    """(id, class, size, reply): digest and length of the compared string and the answer of it. Written down once, since all steps need it."""
 
     def start():
         def work(key, user, answer):
             source, reply = compared(user, answer)
             if source and reply:
-                yield key, _digest(source + reply)
-
-        return work
-
-    return checkpoint(map_rows(_texts(samples), "id bigint, class binary", start))
-
-
-def _signed(samples: DataFrame, evaluation: bool, segment: int, gram: int) -> DataFrame:
-    """(rep, size, h, at): one row per class with its length, and the hashes and positions of its grams."""
-
-    def start():
-        def work(key, user, answer):
-            source, reply = compared(user, answer)
-            if not source or not reply:
-                return
-            text = source + reply
-            hashes = gram_hashes(text, gram)
-            at = np.unique([a + int(hashes[a : b - gram + 1].argmin()) for a, b in segments(text, segment)]).astype(int) if evaluation else minimizers(text, segment, gram)
-            yield key, _digest(text), len(text), hashes.view(np.int64)[at].tolist(), at.tolist()
+                yield key, _digest(source + reply), len(source + reply), reply
 
         return work
 
-    rows = map_rows(_texts(samples), "id bigint, class binary, size int, h array<bigint>, at array<int>", start, 256)
-    return rows.groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("h").alias("h"), F.first("at").alias("at"))
-
-
-def _segment_pairs(train: DataFrame, valid: DataFrame, most_edits: float, segment: int, gram: int) -> DataFrame:
-    """(a, b): class representatives that share the gram of a segment."""
-
-    def grams(samples: DataFrame, evaluation: bool, rep: str, size: str, at: str) -> DataFrame:
-        each = _signed(samples, evaluation, segment, gram).select("rep", "size", F.explode(F.arrays_zip("h", "at")).alias("g"))
-        return each.select(F.col("rep").alias(rep), F.col("size").alias(size), F.col("g.h").alias("h"), F.col("g.at").alias(at))
-
-    bound = F.floor(F.greatest("na", "nb") * F.lit(most_edits))
-    near = (F.abs(F.col("na") - F.col("nb")) <= bound) & (F.abs(F.col("pa") - F.col("pb")) <= bound)
-    return grams(train, False, "a", "na", "pa").join(grams(valid, True, "b", "nb", "pb"), "h").where(near).select("a", "b").distinct()
-
-
-def _all_pairs(train: DataFrame, valid: DataFrame, mt: DataFrame, mv: DataFrame, most_edits: float, below: int | None = None) -> DataFrame:
-    """(a, b): all class representatives whose answers are within the bound and whose lengths can be; or only those of which one is shorter than ``below``."""
-
-    def side(samples: DataFrame, members: DataFrame, x: str) -> DataFrame:
-        def start():
-            def work(key, user, answer):
-                source, reply = compared(user, answer)
-                if below is not None and (1 - most_edits) * len(source + reply) > below:
-                    return
-                chars = gram_hashes(reply, 1)
-                yield (key, len(source + reply), len(reply), reply, signature(gram_hashes(reply, 3), GRAM_WORDS), *signature(chars, CHAR_WORDS))
-
-            return work
-
-        words = ", ".join(f"c{x}{i} bigint" for i in range(CHAR_WORDS))
-        reps = members.where("id = rep").select("id")
-        return checkpoint(map_rows(_texts(samples).join(reps, "id", "left_semi"), f"{x} bigint, n{x} int, r{x} int, t{x} string, g{x} array<bigint>, {words}", start, 256))
-
-    left, right = side(train, mt, "a"), side(valid, mv, "b")
-    right = right.repartition(right.count() // 2048 + 1)  # the join holds 4096 rows of a partition as they are and writes down more
-    within = lambda n: f"floor(greatest({n}a, {n}b) * {most_edits!r}D)"
-    differ = " + ".join(f"bit_count(ca{i} ^ cb{i})" for i in range(CHAR_WORDS))
-    tests = (
-        *(() if below is None else (f"least(na, nb) < {below}",)),
-        f"abs(na - nb) <= {within('n')}",
-        f"abs(ra - rb) <= {within('r')}",
-        f"{differ} <= 2 * {within('r')} - abs(ra - rb)",
-        f"aggregate(zip_with(ga, gb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= 6 * {within('r')}",
-    )
-    near = left.join(right, F.expr(" AND ".join(tests))).select("a", "b", "ta", "tb")
-
-    def start():
-        placed = lru_cache(4096)(placed_grams)
-
-        def work(a, b, one, two):
-            bound = int(most_edits * max(len(one), len(two)))
-            if one == two or not grams_too_far(placed(one), placed(two), bound) and banded_distance(one, two, bound) is not None:
-                yield a, b
+    return checkpoint(map_rows(_texts(samples), "id bigint, class binary, size int, reply string", start))
+
+
+def _packed(prepared: DataFrame, most: int) -> DataFrame:
+    """(classes, sizes, replies): classes packed into few large rows; copies are left out as far as they meet in one row."""
+
+    def work(rows: Iterable[tuple]) -> Iterator[tuple]:
+        held, chars = {}, 0
+        for key, size, reply in rows:
+            if key not in held:
+                held[key] = size, reply
+                chars += len(reply)
+            if len(held) >= most or chars >= MOST_CHARS:
+                yield list(held), *map(list, zip(*held.values()))
+                held, chars = {}, 0
+        if held:
+            yield list(held), *map(list, zip(*held.values()))
+
+    return map_stream(prepared.select("class", "size", "reply"), "classes array<binary>, sizes array<int>, replies array<string>", work)
+
+
+class _Block:
+    """The evaluation classes of one block."""
+
+    def __init__(self, classes: list[bytes], sizes: list[int], replies: list[str], most_edits: float):
+        self.classes, self.sizes, self.replies, self.most_edits = classes, np.array(sizes), replies, most_edits
+        self.index = SegmentIndex(replies, most_edits)
+        self.signatures = np.array([signature(x) for x in replies])
+
+    def near(self, classes: list[bytes], sizes: list[int], replies: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """(a, b) of all pairs whose answers are within the bound and whose lengths can be."""
+        whole, own = np.array(sizes), np.array([signature(x) for x in replies])
+        long_a, long_b = np.array([len(x) for x in replies]), self.index.sizes
+        grams = lru_cache(8192)(placed_grams)
+        for i, j in self.index.pairs(replies):
+            n, m = whole[i], self.sizes[j]
+            ok = np.abs(n - m) <= np.floor(self.most_edits * np.maximum(n, m))
+            i, j = i[ok], j[ok]
+            n, m = long_a[i], long_b[j]
+            bound = np.floor(self.most_edits * np.maximum(n, m)).astype(int)
+            ok = np.bitwise_count(own[i] ^ self.signatures[j]).sum(axis=1, dtype=int) <= 2 * bound - np.abs(n - m)
+            for x, y, k in zip(i[ok].tolist(), j[ok].tolist(), bound[ok].tolist()):
+                one, two = replies[x], self.replies[y]
+                if one == two or not grams_too_far(grams(one), grams(two), k) and banded_distance(one, two, k) is not None:
+                    yield classes[x], self.classes[y]
+
+
+def _near_answers(train: DataFrame, valid: DataFrame, most_edits: float) -> DataFrame:
+    """(a, b): all pairs of classes whose answers are within the bound and whose lengths can be.
+
+    A task holds one block of the evaluation side at a time and takes the packs of one part of the training side through it.
+    """
+    blocks = checkpoint(_packed(valid.repartition(1 + valid.count() // BLOCK), BLOCK))
+    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in blocks.columns))
 
-        return work
+    def work(rows: Iterable[tuple]) -> Iterator[tuple]:
+        block = None
+        for classes, sizes, replies, b_classes, b_sizes, b_replies in rows:
+            if block is None or block.classes != b_classes:
+                block = _Block(b_classes, b_sizes, b_replies, most_edits)
+            yield from block.near(classes, sizes, replies)
 
-    return map_rows(near, "a bigint, b bigint", start)
+    return map_stream(_packed(train, PACK).crossJoin(blocks), "a binary, b binary", work)
 
 
-def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int | None, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _links(train: DataFrame, valid: DataFrame, most_edits: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links (a, b, edits) between class representatives, and the members of both sides' classes (id, rep)."""
 
-    def members(samples: DataFrame) -> DataFrame:
-        keys = _keyed(samples)
-        return keys.join(keys.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep", "class")
-
-    mt, mv = members(train), members(valid)
-    pairs = _all_pairs(train, valid, mt, mv, most_edits, segment)
-    if segment is not None:
-        pairs = pairs.union(_segment_pairs(train, valid, most_edits, segment, gram))
-    reps = lambda m, x: m.where("id = rep").select("class", F.col("rep").alias(x))
-    pairs = pairs.union(reps(mt, "a").join(reps(mv, "b"), "class").select("a", "b")).distinct()
+    pt, pv = _prepared(train), _prepared(valid)
+    reps = lambda p, c: p.groupBy("class").agg(F.min("id").alias(c))
+    rt, rv = reps(pt, "a"), reps(pv, "b")
+    equal = rt.join(rv, "class").select("a", "b")
+    near = _near_answers(pt, pv, most_edits).toDF("class", "other").distinct()
+    near = near.join(rt, "class").select("a", F.col("other").alias("class")).join(rv, "class").select("a", "b")
+    pairs = near.union(equal).distinct()
     left = _texts(train).select(F.col("id").alias("a"), F.col("user").alias("user_a"), F.col("answer").alias("answer_a"))
     right = _texts(valid).select(F.col("id").alias("b"), F.col("user").alias("user_b"), F.col("answer").alias("answer_b"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "user_a", "answer_a", "user_b", "answer_b")
@@ -341,12 +296,13 @@ def _links(train: DataFrame, valid: DataFrame, most_edits: float, segment: int |
 
         return work
 
-    return map_rows(full, "a bigint, b bigint, edits int", start), mt.drop("class"), mv.drop("class")
+    members = lambda p, r, c: p.select("id", "class").join(r, "class").select("id", F.col(c).alias("rep"))
+    return map_rows(full, "a bigint, b bigint, edits int", start), members(pt, rt, "a"), members(pv, rv, "b")
 
 
-def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = None, gram: int = GRAM) -> DataFrame:
+def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
     """(sample_a, sample_b, edits): a training and an evaluation sample with the same passage and answer."""
-    links, mt, mv = _links(train, valid, most_edits, segment, gram)
+    links, mt, mv = _links(train, valid, most_edits)
     return (
         links.join(mt.withColumnsRenamed({"id": "sample_a", "rep": "a"}), "a")
         .join(mv.withColumnsRenamed({"id": "sample_b", "rep": "b"}), "b")
@@ -354,9 +310,9 @@ def overlap_pairs(train: DataFrame, valid: DataFrame, most_edits: float = MOST_E
     )
 
 
-def overlap_classes(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS, segment: int | None = None, gram: int = GRAM) -> DataFrame:
+def overlap_classes(train: DataFrame, valid: DataFrame, most_edits: float = MOST_EDITS) -> DataFrame:
     """(sample_id, split, class_id, n_links): one row per sample with its class and the number of linked classes of the other split."""
-    links, mt, mv = _links(train, valid, most_edits, segment, gram)
+    links, mt, mv = _links(train, valid, most_edits)
     count = lambda c: links.groupBy(F.col(c).alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     side = lambda m, c, name: m.join(count(c), "rep", "left").select(F.col("id").alias("sample_id"), F.lit(name).alias("split"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return side(mt, "a", "train").union(side(mv, "b", "valid"))

@@ -88,4 +88,4 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame
         return work
 
     kind = source.schema["id"].dataType.simpleString()
-    return map_rows(source, f"limit_name string, id {kind}, piece int, n_pieces int, start int, end int, text string", start, 1024).withColumnRenamed("id", id_col)
+    return map_rows(source, f"limit_name string, id {kind}, piece int, n_pieces int, start int, end int, text string", start).withColumnRenamed("id", id_col)

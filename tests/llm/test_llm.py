@@ -5,11 +5,13 @@ import random
 import unicodedata
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import grouped_split, leakage, lookalikes, mixing, overlap, pairs, personal, repetition, splitting
 from paperloom.llm.queries import QUERIES, SQL
+from paperloom.llm.segments import SegmentIndex
 
 LIMITS = "limit_name string, max_chars int, overlap_chars int"
 
@@ -168,12 +170,8 @@ def test_exact_join_loses_nothing(spark):
         for a, b in itertools.product((x for x in train if x[1] and x[1][1][1]), valid)
         if distance(text(a[1]), text(b[1])) <= int(0.2 * max(len(text(a[1])), len(text(b[1]))))
     }
-    exact = {(r["sample_a"], r["sample_b"]) for r in overlap.overlap_pairs(t, v, segment=None).collect()}
-    assert exact == near
-    coarse = {(r["sample_a"], r["sample_b"]) for r in overlap.overlap_pairs(t, v).collect()}
-    assert coarse <= near
-    assert len(coarse) >= 0.6 * len(near)
-    classes = {r["sample_id"]: r for r in overlap.overlap_classes(t, v, segment=None).collect()}
+    assert {(r["sample_a"], r["sample_b"]) for r in overlap.overlap_pairs(t, v).collect()} == near
+    classes = {r["sample_id"]: r for r in overlap.overlap_classes(t, v).collect()}
     assert classes[502]["class_id"] == 0
     assert 500 not in classes
 
@@ -191,27 +189,41 @@ def test_query_finds_scattered_edits(spark):
     assert sorted(map(tuple, found)) == [(i, 100 + i) for i in range(len(base))]
 
 
-@pytest.mark.parametrize("segment", [None, 32])
-def test_short_samples_have_links(spark, segment):
+def test_short_samples_have_links(spark):
     row = lambda k, s, a: (k, [("user", f"写\n{s}"), ("assistant", a)], None)
     t = spark.createDataFrame([row(1, "短的原文", "一个回答"), row(2, "乙丙丁", "甲"), row(3, "甲乙丙丁戊己庚辛壬", "子丑寅卯辰巳"), row(4, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", "秋收冬藏闰余成岁律吕调阳云")], SAMPLE)
     v = spark.createDataFrame([row(11, "短的原文", "一个回答"), row(12, "乙丙", "丁甲"), row(13, "甲乙丙丁戊己庚辛", "子丑寅卯辰午"), row(14, "天地玄黄宇宙洪荒日月盈昃辰宿列寒来暑往", "秋收冬藏闰余成岁律吕调阳"), row(15, "别的东西", "没有关系")], SAMPLE)
-    found = overlap.overlap_pairs(t, v, segment=segment).select("sample_a", "sample_b").collect()
+    found = overlap.overlap_pairs(t, v).select("sample_a", "sample_b").collect()
     assert sorted(map(tuple, found)) == [(1, 11), (2, 12), (3, 13), (4, 14)]
 
 
-def test_signatures_lose_nothing():
+def test_filters_lose_nothing():
     draw = random.Random(13)
     for _ in range(400):
         a = "".join(draw.choice("abcd甲乙") for _ in range(draw.randrange(1, 90)))
         b = varied(draw, a, draw.choice([0.05, 0.1, 0.3])) or "b"
         k = distance(a, b)
-        for q, words, least in ((1, overlap.CHAR_WORDS, abs(len(a) - len(b))), (3, overlap.GRAM_WORDS, 0)):
-            one, two = (overlap.signature(overlap.gram_hashes(x, q), words) for x in (a, b))
-            assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(one, two)) <= 2 * q * k - least
+        assert int(np.bitwise_count(overlap.signature(a) ^ overlap.signature(b)).sum()) <= 2 * k - abs(len(a) - len(b))
         assert not overlap.grams_too_far(overlap.placed_grams(a), overlap.placed_grams(b), k)
 
 
+@pytest.mark.parametrize("letters", ["ab", "甲乙丙丁戊己庚辛壬癸", "".join(map(chr, range(0x4E00, 0x4F00)))])
+def test_segments_lose_nothing(letters):
+    draw = random.Random(17)
+    text = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    valid = [text(draw.randrange(1, 120)) for _ in range(60)] + ["", "a"]
+    train = [varied(draw, y, draw.choice([0.0, 0.05, 0.1, 0.2, 0.25])) for y in valid for _ in range(4)] + [y[:i] + text(draw.randrange(30)) + y[i:] for y in valid for i in (0, len(y) // 2, len(y))]
+    index = SegmentIndex(valid, 0.2)
+    flags = index.candidates(train)
+    for (i, x), (j, y) in itertools.product(enumerate(train), enumerate(valid)):
+        if overlap.banded_distance(x, y, int(0.2 * max(len(x), len(y)))) is not None:
+            assert flags[i, j], (x, y)
+    found = {(a, b) for i, j in index.pairs(train) for a, b in zip(i.tolist(), j.tolist())}
+    assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(flags))))
+    if len(letters) > 200:
+        assert flags.sum() < 0.2 * flags.size
+
+
 def test_moved_sentences_do_not_differ(spark):
     draw = random.Random(9)
     parts = ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(40)) + "。" for _ in range(8)]
@@ -221,7 +233,7 @@ def test_moved_sentences_do_not_differ(spark):
     assert [(r["sample_a"], r["sample_b"], r["edits"]) for r in overlap.overlap_pairs(t, v).collect()] == [(1, 11, 0)]
 
 
-def test_production_segments_lose_nothing_here(spark, data):
+def test_all_pairs_of_the_small_tables(spark, data):
     """The parameters of the query against all pairs of the small tables."""
     t, v = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("sft_train", "sft_valid"))
 
@@ -240,17 +252,6 @@ def test_production_segments_lose_nothing_here(spark, data):
     assert near
 
 
-def test_minimizers_hold_every_segment():
-    draw = random.Random(3)
-    for _ in range(60):
-        shared = "".join(draw.choice("甲乙丙丁戊") for _ in range(24))
-        one, two = ("".join(draw.choice("甲乙丙丁戊己") for _ in range(draw.randrange(50))) + shared + "".join(draw.choice("甲乙丙") for _ in range(30)) for _ in range(2))
-        grams = [{s[p : p + 12] for p in overlap.minimizers(s, 24, 12)} for s in (one, two)]
-        at = one.index(shared)
-        hashes = overlap.gram_hashes(one, 12)
-        assert one[at + int(hashes[at : at + 13].argmin()) :][:12] in grams[1]
-
-
 # 4
 
 
