@@ -41,7 +41,7 @@ MOST_EDITS = 0.2
 #: 64-bit words of the signature of a string's characters.
 SIGNATURE_WORDS = 16
 #: Strings of a block of evaluation classes, of a pack of training classes, and the characters that close either sooner.
-BLOCK, PACK, MOST_CHARS = 8192, 16384, 1 << 23
+BLOCK, PACK, MOST_CHARS = 4096, 4096, 1 << 22
 MARKS = re.compile(r"[\W_]+")
 ENDS = re.compile(r"[。！？!?；;\n]|\.(?=\s|\Z)")
 #: Lines of a user message that name persons, and the lines that frame the passage.
@@ -180,48 +180,55 @@ def _digest(text: str) -> bytes:
 
 
 def _prepared(samples: DataFrame) -> DataFrame:
-    """(id, class, size, reply): digest and length of the compared string and the answer of it. Written down once, since all steps need it."""
+    """(id, class, size, reply, bits): digest and length of the compared string, the answer of it and that one's signature.
+
+    Written down once, since all steps need it.
+    """
 
     def start():
         def work(key, user, answer):
             source, reply = compared(user, answer)
             if source and reply:
-                yield key, _digest(source + reply), len(source + reply), reply
+                yield key, _digest(source + reply), len(source + reply), reply, signature(reply).tobytes()
 
         return work
 
-    return checkpoint(map_rows(_texts(samples), "id bigint, class binary, size int, reply string", start))
+    return checkpoint(map_rows(_texts(samples), "id bigint, class binary, size int, reply string, bits binary", start))
 
 
 def _packed(prepared: DataFrame, most: int) -> DataFrame:
-    """(classes, sizes, replies): classes packed into few large rows; copies are left out as far as they meet in one row."""
+    """(classes, sizes, replies, bits): classes packed into few large rows; copies are left out as far as they meet in one row."""
 
     def work(rows: Iterable[tuple]) -> Iterator[tuple]:
         held, chars = {}, 0
-        for key, size, reply in rows:
+        for key, size, reply, bits in rows:
             if key not in held:
-                held[key] = size, reply
+                held[key] = size, reply, bits
                 chars += len(reply)
             if len(held) >= most or chars >= MOST_CHARS:
-                yield list(held), *map(list, zip(*held.values()))
+                yield packed(held)
                 held, chars = {}, 0
         if held:
-            yield list(held), *map(list, zip(*held.values()))
+            yield packed(held)
+
+    def packed(held: dict) -> tuple:
+        sizes, replies, bits = zip(*held.values())
+        return list(held), list(sizes), list(replies), b"".join(bits)
 
-    return map_stream(prepared.select("class", "size", "reply"), "classes array<binary>, sizes array<int>, replies array<string>", work)
+    return map_stream(prepared.select("class", "size", "reply", "bits"), "classes array<binary>, sizes array<int>, replies array<string>, bits binary", work)
 
 
 class _Block:
     """The evaluation classes of one block."""
 
-    def __init__(self, classes: list[bytes], sizes: list[int], replies: list[str], most_edits: float):
+    def __init__(self, classes: list[bytes], sizes: list[int], replies: list[str], bits: bytes, most_edits: float):
         self.classes, self.sizes, self.replies, self.most_edits = classes, np.array(sizes), replies, most_edits
         self.index = SegmentIndex(replies, most_edits)
-        self.signatures = np.array([signature(x) for x in replies])
+        self.signatures = np.frombuffer(bits, np.uint64).reshape(len(classes), -1)
 
-    def near(self, classes: list[bytes], sizes: list[int], replies: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def near(self, classes: list[bytes], sizes: list[int], replies: list[str], bits: bytes) -> Iterator[tuple[bytes, bytes]]:
         """(a, b) of all pairs whose answers are within the bound and whose lengths can be."""
-        whole, own = np.array(sizes), np.array([signature(x) for x in replies])
+        whole, own = np.array(sizes), np.frombuffer(bits, np.uint64).reshape(len(classes), -1)
         long_a, long_b = np.array([len(x) for x in replies]), self.index.sizes
         grams = lru_cache(8192)(placed_grams)
         for i, j in self.index.pairs(replies):
@@ -247,10 +254,10 @@ def _near_answers(train: DataFrame, valid: DataFrame, most_edits: float) -> Data
 
     def work(rows: Iterable[tuple]) -> Iterator[tuple]:
         block = None
-        for classes, sizes, replies, b_classes, b_sizes, b_replies in rows:
+        for classes, sizes, replies, bits, b_classes, *others in rows:
             if block is None or block.classes != b_classes:
-                block = _Block(b_classes, b_sizes, b_replies, most_edits)
-            yield from block.near(classes, sizes, replies)
+                block = _Block(b_classes, *others, most_edits)
+            yield from block.near(classes, sizes, replies, bits)
 
     return map_stream(_packed(train, PACK).crossJoin(blocks), "a binary, b binary", work)
 

@@ -20,9 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-GRAM, WIDTH = 4, 32
+GRAM, WIDTH = 4, 64
 #: Bits of the table of counts that ranks segments; of rows, characters and matches that are worked on at once.
-COUNT_BITS, MOST_ROWS, MOST_CHARS, MOST_MATCHES = 22, 256, 1 << 18, 1 << 21
+COUNT_BITS, MOST_ROWS, MOST_CHARS, MOST_MATCHES = 20, 256, 1 << 17, 1 << 19
 NEED_BITS = 24
 LEFT, RIGHT = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
 
