@@ -3,7 +3,8 @@
 Each sample gets at most one defect, the first that applies in this order:
 
 * ``empty``: nothing is left of the answer without marks, invisible characters, placeholders and headings;
-* ``refusal``: an automaton over refusal phrases finds one, and little else is said;
+* ``refusal``: an automaton over refusal phrases finds one, and either the clauses with such phrases are half of what is said, or the answer
+  opens with a sentence in which its speaker refuses, however long the reasons behind it, and goes through no more than one of the parts;
 * ``wrong_language``: the answer's language, by votes of stop-words and scripts, is not that of the request;
 * ``copy``: the answer is traversed over the suffix automaton of the prompt; long stretches of it cover most of the answer;
 * ``truncated``: the answer breaks off: parts that were asked for are missing at its end, the last part is empty, or the
@@ -53,7 +54,10 @@ STOPWORDS = {
 }
 OPEN, CLOSE = "（(「『“【《[", "）)」』”】》]"
 STRETCH, BLOCK, LATIN_STRETCH = 16, 8, 36
-COPY_SHARE, MOST_BESIDES_REFUSAL = 0.5, 90
+COPY_SHARE, REFUSED_SHARE = 0.5, 0.5
+#: Words of one who refuses and of the one spoken to; a pupil who "cannot answer" is neither.
+SPEAKER = re.compile(r"我|本人|您|你|抱歉|对不起|不好意思|恕|遗憾|作为|\bi\b|\bi'm\b|sorry|\byour?\b|\bas an? |unfortunately|\bje\b|malheureusement|\bich\b|leider|lo siento|no puedo|申し訳|お答え")
+SENTENCE, CLAUSE = re.compile(r"[。！？!?;；\n]+|\.(?=\s|\Z)"), re.compile(r"[。！？!?;；，,、：:\n]+|\.(?=\s|\Z)")
 MARKS = re.compile(r"[\W_]+")
 INVISIBLE = re.compile(r"[­͏؜᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 PART_RE = re.compile(r"(?im)(?:^|(?<=[。！？!?.；;\n]))[ \t　#*【\[（(]*(?:[0-9一二三四五][、.．)） ]*)?[*【\[]*(研究问题|核心概念|研究目标和内容|研究成果|研究效果|(?:research )?questions?|concepts?|aims?|results?|effects?)[*】\]]*[ \t]*(?:[:：]|$)[*]*")
@@ -174,6 +178,24 @@ def refusal_automaton() -> ahocorasick.Automaton:
     return found
 
 
+def refuses(body: str, refusals: ahocorasick.Automaton) -> bool:
+    """Whether a text without its headings refuses: by the share of its refusing clauses, or by how it opens."""
+    low = body.lower().replace("’", "'")
+    if next(refusals.iter(low), None) is None:
+        return False
+    told = lambda part: next(refusals.iter(part), None) is not None
+    size = lambda part: len(letters(part))
+    clauses = CLAUSE.split(low)
+    if sum(size(c) for c in clauses if told(c)) >= REFUSED_SHARE * sum(map(size, clauses)):
+        return True
+    before = 0
+    for sentence in SENTENCE.split(low):
+        if told(sentence):
+            return before <= size(sentence) and SPEAKER.search(sentence) is not None
+        before += size(sentence)
+    return False
+
+
 def asked_parts(request: str) -> tuple[str, ...]:
     """The parts that the instruction, the first line of a request, asks for."""
     first = request.strip().split("\n", 1)[0].lower()
@@ -193,14 +215,13 @@ def defect(request: str | None, answer: str | None, refusals: ahocorasick.Automa
     for word in PLACEHOLDERS:
         if kept == letters(word):
             kept = ""
-    if not kept or not letters(re.sub("|".join(PARTS["zh"]), "", kept)) and len(kept) < 60:
+    if not kept or not letters(re.sub("|".join(PARTS["zh"]), "", kept)):
         return "empty"
     if all(letters(x) in PLACE_SET for x in re.split(r"[\n。；;]", body)):
         return "empty"
-    low = shown.lower().replace("’", "'")
-    if any(True for _ in refusals.iter(low)) and len(plain) <= MOST_BESIDES_REFUSAL:
-        if not CJK.search(low) or len(plain) <= MOST_BESIDES_REFUSAL - 10:
-            return "refusal"
+    given_parts = {m[1].lower() for m in PART_RE.finditer(shown)}
+    if len(given_parts) < 2 and refuses(body, refusals):
+        return "refusal"
     asked: tuple[str, ...] = ()
     if request and request.strip():
         asked = asked_parts(request)
@@ -212,7 +233,6 @@ def defect(request: str | None, answer: str | None, refusals: ahocorasick.Automa
             return "wrong_language"
         if copied_share(plain, letters(request)) >= COPY_SHARE:
             return "copy"
-    given_parts = {m[1].lower() for m in PART_RE.finditer(shown)}
     if len(asked) > 1:
         names = {p: any(g.startswith(p.rstrip("s")) or g.endswith(p) for g in given_parts) for p in asked}
         if given_parts and not all(names.values()) or not given_parts:
