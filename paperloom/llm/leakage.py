@@ -7,7 +7,9 @@ they cover of the passage is its share. Passages with a share of at least ``leas
 Text is compared without marks, white space, width and case. A window has ``window`` characters, or ``latin_window`` where it is
 Latin letters throughout, since a few words of a language with spaces say as little as a phrase of characters.
 
-Size: passages are a fixed evaluation set. Each pass broadcasts at most ``windows_per_pass`` windows (about 100 MB); a larger set is
+A window is one of tokens, where a token is a character, the unit that a text without spaces has.
+
+Size: passages are a fixed evaluation set, read block by block. Each pass broadcasts at most ``windows_per_pass`` windows (about 100 MB); a larger set is
 worked off in as many passes over the documents as it needs, so nothing grows with the corpus or beyond its bound.
 
 Defined results: null, blank and very short passages hold no window and match nothing; a passage shorter than its window is compared
@@ -16,18 +18,23 @@ as a whole. Null texts match nothing. Repeated documents are each reported. Empt
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import map_rows
 
 MARKS = re.compile(r"[\W_]+")
 LATIN = re.compile(r"[a-z0-9]+\Z")
 WINDOW, LATIN_WINDOW, LEAST_SHARE = 12, 30, 0.5
+WINDOWS_PER_PASS = 500_000
 
 
 def steps(most: int) -> tuple[tuple[int, int], ...]:
@@ -102,23 +109,28 @@ def stretches(doc: str, item: str, hits: list[tuple[int, int, int]]) -> tuple[fl
     return sum(cover) / len(item), sorted({(s, e) for s, e, _, _ in found})
 
 
+def window_set(passages: list[tuple[object, str]], window: int, latin_window: int) -> dict[str, list[tuple[object, int]]]:
+    """Window to the passages, and places in them, that hold it: the hash set that is broadcast."""
+    at = defaultdict(list)
+    for key, text in passages:
+        for k, part in passage_windows(text, window, latin_window):
+            at[part].append((key, k))
+    return dict(at)
+
+
 class Windows:
-    """The hash set of some passages' windows."""
+    """Matching documents against the hash set of some passages' windows."""
 
-    def __init__(self, passages: list[tuple[object, str]], window: int, latin_window: int):
-        self.items = dict(passages)
-        at = defaultdict(list)
-        for key, text in passages:
-            for k, part in passage_windows(text, window, latin_window):
-                at[part].append((key, k))
-        self.at, self.sizes = dict(at), sorted({len(x) for x in at})
-        self.window, self.latin_window = window, latin_window
+    def __init__(self, items: dict[object, str], at: dict[str, list[tuple[object, int]]], latin_window: int = LATIN_WINDOW):
+        self.items, self.at, self.sizes = items, at, sorted({len(x) for x in at})
+        self.long_latin = re.compile(rf"[a-z0-9]{{{latin_window}}}")
+        self.latin_window = latin_window
 
     def __call__(self, doc: str, least: float):
         """(passage, share, stretches) for all passages that the normalised document holds at least a share of."""
         at, hits = self.at, defaultdict(list)
         for size in self.sizes:
-            if size == self.latin_window and not re.search(rf"[a-z0-9]{{{size}}}", doc):
+            if size == self.latin_window and not self.long_latin.search(doc):
                 continue
             for k in [k for k in range(len(doc) - size + 1) if doc[k : k + size] in at]:
                 for key, place in at[doc[k : k + size]]:
@@ -129,67 +141,98 @@ class Windows:
                 yield key, share, parts
 
 
+def blocks_of(items: DataFrame, most: int) -> Iterator[list[tuple[object, str]]]:
+    """The normalised passages in blocks of at most ``most`` letters (or one longer passage), read one block at a time."""
+    block, size = [], 0
+    for key, passage in items.select("item_id", "passage").where("passage is not null").orderBy("item_id").toLocalIterator():
+        text = normal(passage)
+        if block and size + len(text) > most:
+            yield block
+            block, size = [], 0
+        block.append((key, text))
+        size += len(text)
+    yield block
+
+
+def _passes(documents: DataFrame, items: DataFrame, schema: T.StructType | str, work, window: int, latin_window: int, windows_per_pass: int) -> list[DataFrame]:
+    """One pass over the documents per block of passages: ``work(windows, *row)`` yields output rows."""
+    out = []
+    for block in blocks_of(items, windows_per_pass):
+        shared = documents.sparkSession.sparkContext.broadcast((dict(block), window_set(block, window, latin_window)))
+
+        def start(shared=shared):
+            windows = Windows(*shared.value, latin_window)
+            return lambda *row: work(windows, *row)
+
+        out.append(map_rows(documents, schema, start))
+    return out
+
+
 def find_leaks(
-    documents: DataFrame,
-    items: DataFrame,
-    least_share: float = LEAST_SHARE,
-    window: int = WINDOW,
-    latin_window: int = LATIN_WINDOW,
-    windows_per_pass: int = 500_000,
-    remove: str | None = None,
+    documents: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE, window: int = WINDOW, latin_window: int = LATIN_WINDOW, windows_per_pass: int = WINDOWS_PER_PASS
 ) -> DataFrame:
-    """(item_id, doc_id, share, n_stretches), or with ``remove="spans"`` (doc_id, text): the leaking documents without the leaked stretches."""
-    spark = documents.sparkSession
-    passages = [(r[0], normal(r[1])) for r in items.select("item_id", "passage").where("passage is not null").orderBy("item_id").toLocalIterator()]
-    blocks, size = [[]], 0
-    for key, text in passages:
-        if size and size + len(text) > windows_per_pass:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((key, text))
-        size += len(text)
-    if remove and len(blocks) > 1:
-        raise ValueError("to remove spans of more passages than one pass holds, call it once per part of the passages")
+    """(item_id, doc_id, share, n_stretches)."""
     docs = documents.select("doc_id", "text").where(F.length("text") >= 4)
     item_type, doc_type = items.schema["item_id"].dataType.simpleString(), documents.schema["doc_id"].dataType.simpleString()
 
-    def one(block):
-        shared = spark.sparkContext.broadcast(block)
+    def report(windows, doc_id, text):
+        for key, share, parts in windows(normal(text), least_share):
+            yield key, doc_id, round(share, 6), len(parts)
 
-        def start():
-            windows = Windows(shared.value, window, latin_window)
+    return reduce(DataFrame.union, _passes(docs, items, f"item_id {item_type}, doc_id {doc_type}, share double, n_stretches int", report, window, latin_window, windows_per_pass))
 
-            def report(doc_id, text):
-                for key, share, parts in windows(normal(text), least_share):
-                    yield key, doc_id, round(share, 6), len(parts)
 
-            def cut(doc_id, text):
-                if not any(True for _ in windows(normal(text), least_share)):
-                    return
-                doc, where = traced(text)
-                gone = sorted(p for _, _, parts in windows(doc, least_share) for p in parts)
-                out, at = [], 0
-                for a, b in gone:
-                    a, b = where[a], where[b - 1] + 1
-                    out.append(text[at : max(at, a)])
-                    at = max(at, b)
-                yield doc_id, "".join(out) + text[at:]
+def leaked_spans(windows: Windows, text: str | None, least: float) -> list[tuple[int, int]]:
+    """Start and end, in the text itself, of what it holds of passages."""
+    if not text or len(text) < 4 or not any(True for _ in windows(normal(text), least)):
+        return []
+    doc, where = traced(text)
+    return sorted((where[a], where[b - 1] + 1) for _, _, parts in windows(doc, least) for a, b in parts)
 
-            return cut if remove else report
 
-        return map_rows(docs, f"doc_id {doc_type}, text string" if remove else f"item_id {item_type}, doc_id {doc_type}, share double, n_stretches int", start)
+def without(text: str | None, spans: Iterable[tuple[int, int]]) -> str | None:
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join(out) + text[at:] if at else text
 
-    out = one(blocks[0])
-    for block in blocks[1:]:
-        out = out.union(one(block))
-    return out
 
+def decontaminate(
+    documents: DataFrame, items: DataFrame, mode: str = "documents", least_share: float = LEAST_SHARE, window: int = WINDOW, latin_window: int = LATIN_WINDOW, windows_per_pass: int = WINDOWS_PER_PASS
+) -> DataFrame:
+    """The documents without the leaking ones (``documents``) or with the leaked stretches cut out of their text (``spans``).
 
-def decontaminate(documents: DataFrame, items: DataFrame, mode: str = "documents", **how) -> DataFrame:
-    """The documents without the leaking ones (``documents``) or with the leaked stretches cut out of their text (``spans``)."""
+    Stretches are cut where the documents are read, in one pass and without an exchange, as long as the passages are one block. With more
+    blocks each pass yields the stretches of the leaking documents only; they are put together per document and then cut.
+    """
+    sizes = dict(window=window, latin_window=latin_window, windows_per_pass=windows_per_pass)
     if mode == "documents":
-        return documents.join(find_leaks(documents, items, **how).select("doc_id").distinct(), "doc_id", "left_anti")
+        return documents.join(find_leaks(documents, items, least_share, **sizes).select("doc_id").distinct(), "doc_id", "left_anti")
     if mode != "spans":
         raise ValueError("mode is documents or spans")
-    cut = find_leaks(documents, items, remove="spans", **how).withColumnRenamed("text", "_cut")
-    return documents.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_cut", "text")).drop("_cut")
+    place = documents.columns.index("text")
+
+    def cut(windows, *row):
+        yield *row[:place], without(row[place], leaked_spans(windows, row[place], least_share)), *row[place + 1 :]
+
+    def found(windows, doc_id, text):
+        if spans := leaked_spans(windows, text, least_share):
+            yield doc_id, hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest(), [{"a": a, "b": b} for a, b in spans]
+
+    whole = _passes(documents, items, documents.schema, cut, **sizes)
+    if len(whole) == 1:
+        return whole[0]
+    doc_type = documents.schema["doc_id"].dataType.simpleString()
+    parts = reduce(DataFrame.union, _passes(documents.select("doc_id", "text"), items, f"_doc {doc_type}, _digest string, _spans array<struct<a:int,b:int>>", found, **sizes))
+    spans = parts.groupBy("_doc", "_digest").agg(F.flatten(F.collect_set("_spans")).alias("_spans"))
+    joined = documents.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.md5("text") == F.col("_digest")), "left")
+
+    def start():
+        def work(*row):
+            spans = row[-1] and [(s["a"], s["b"]) for s in row[-1]]
+            yield *row[:place], without(row[place], spans or ()), *row[place + 1 : -1]
+
+        return work
+
+    return map_rows(joined.select(*(documents[c] for c in documents.columns), "_spans"), documents.schema, start)
