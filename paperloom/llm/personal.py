@@ -64,7 +64,9 @@ SPELT = dict(zip("零〇一二三四五六七八九幺", "001234567891"))
 AT = r"(?:@|\(at\)|\[at\]|（at）|#at#)"
 DOT = r"(?:\.|\[dot\]|\(dot\)|（dot）)"
 WORD = r"[a-z0-9](?:[a-z0-9_+%-]*[a-z0-9])?"
-LOCAL = re.compile(rf"({WORD}(?:{DOT}{WORD})*) ?\Z", re.I)
+LOCAL_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+LOCAL_MARKS = LOCAL_LETTERS | set("_+%-")
+DOTS = (".", "[dot]", "(dot)", "（dot）")
 AT_HERE = re.compile(AT, re.I)
 DOMAIN = re.compile(rf" ?{WORD}(?:{DOT}{WORD})*{DOT}[a-z]{{2,}}", re.I)
 NUMBER_RUN = re.compile(r"[+(（]?[0-9０-９][0-9０-９ ()（）.\-—－–]*(?:[0-9０-９]|[Xx](?![A-Za-z]))(?:(?:转|ext\.? ?|x)[0-9]{1,6})?")
@@ -76,6 +78,8 @@ NUM = r"(?:[0-9]+|[零〇一二三四五六七八九十百千]+)"
 HOUSE = re.compile(
     rf"(?:第?{NUM}(?:村民小组|村民组|组|队|社)|{NUM}弄)?{NUM}(?:-{NUM})?号(?!楼|线|文|令|机|院校|选手|通知)(?:院)?(?:{NUM}(?:栋|幢|座|号楼))?(?:{NUM}单元(?:{NUM})?)?(?:{NUM}(?:室|房|户))?(?:室|房|户)?"
 )
+HOUSE_LETTERS = frozenset("0123456789零〇一二三四五六七八九十百千第村民小组队社弄-")
+#: The longest thing that this matches has fewer than 40 characters.
 BEFORE_HOUSE = re.compile(rf"((?:[一-鿿]{{2,3}}[省市县区州盟旗][ ]?){{0,3}}(?:[一-鿿]{{1,6}}(?:镇|乡|街道))?[一-鿿]{{1,4}}(?:{'|'.join(STREETS)})(?:[东南西北]段)?) ?\Z")
 LEADING = re.compile(r"^(?:.*(?:登记为|住址[：:]?|地址[：:]?|位于|[寄送搬迁移回来前][到至往]|住[在：:]|居于|或寄|[记写]为)|[寄为在到于住至自从往是](?=..))")
 ENGLISH_ADDRESS = re.compile(rf"\b[0-9]{{1,5}}[A-Z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(ENGLISH_STREETS)})\b(?:, (?:Apt|Block|Unit|Flat|Room|Suite|Floor)\.? [0-9A-Z-]+)?")
@@ -95,7 +99,9 @@ def anchors() -> ahocorasick.Automaton:
     for word in SINGLE_SURNAMES:
         found.add_word(word, ("n", 1))
     for street in ENGLISH_STREETS:
-        found.add_word(f" {street}", ("s", 0))
+        found.add_word(f" {street}", ("s", len(street) + 1))
+    for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        found.add_word(f" {letter}", ("e", 2))
     found.add_word("号", ("h", 1))
     for a in "零〇一幺":
         for b in "零〇一二三四五六七八九":
@@ -111,12 +117,28 @@ def real_date(digits: str) -> bool:
         return False
 
 
+def local_start(text: str, end: int) -> int:
+    """Where the local part that ends at ``end`` begins: words of letters, digits and joining marks with dots between; ``end`` where there is none."""
+    at = start = end - (text[end - 1 : end] == " ")
+    while at and text[at - 1] in LOCAL_LETTERS:
+        while at and text[at - 1] in LOCAL_MARKS:
+            at -= 1
+        while text[at] not in LOCAL_LETTERS:
+            at += 1
+        start = at
+        dot = next((d for d in DOTS if text[max(0, at - len(d)) : at].lower() == d), "")
+        if not dot:
+            break
+        at -= len(dot)
+    return start if start < end - (text[end - 1 : end] == " ") else end
+
+
 def email_at(text: str, start: int) -> tuple[int, int] | None:
     """The address around an at-sign."""
     sign = AT_HERE.match(text, start)
-    left = LOCAL.search(text, max(0, start - 70), start)
+    left = local_start(text, start)
     right = DOMAIN.match(text, sign.end()) if sign else None
-    return (left.start(1), right.end()) if left and right else None
+    return (left, right.end()) if left < start and right else None
 
 
 def numbers_at(run: str, base: int) -> Iterator[tuple[int, int, str]]:
@@ -148,7 +170,9 @@ def numbers_at(run: str, base: int) -> Iterator[tuple[int, int, str]]:
 
 def address_at(text: str, mark: int) -> tuple[int, int] | None:
     """The address whose house number ends at the mark."""
-    low = max(0, mark - 24)
+    low = mark
+    while low and text[low - 1] in HOUSE_LETTERS:
+        low -= 1
     for house in HOUSE.finditer(text, low):
         if house.start() > mark:
             break
@@ -192,12 +216,45 @@ def person_at(text: str, start: int, surname: int, last: tuple[int, int] | None,
     return None
 
 
+def english_address_at(text: str, end: int) -> tuple[int, int] | None:
+    """The address whose kind of street begins behind the space at ``end``: a number and up to three capitalised words before it."""
+    high = end
+    for _ in range(4):
+        low = high
+        while low and text[low - 1].isalnum():
+            low -= 1
+        if found := ENGLISH_ADDRESS.match(text, low):
+            return (low, found.end()) if found.end() > end else None
+        if low == high or text[low - 1 : low] != " ":
+            return None
+        high = low - 1
+    return None
+
+
+def english_name_at(text: str, space: int) -> tuple[int, int, int] | None:
+    """Start and end of the name whose first and second word the space parts, and the end of the run of capitalised words."""
+    low = space
+    while low and (text[low - 1].isalpha() and text[low - 1].isascii() or text[low - 1] == "-"):
+        low -= 1
+    run = ENGLISH_NAME.match(text, low)
+    if run is None:
+        return None
+    words, at = run[0].split(" "), low
+    while words and words[0] in NOT_NAMES:
+        if words[0] in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Professor", "Miss"):
+            words = []
+            break
+        at += len(words.pop(0)) + 1
+    named = len(words) > 1 and not any(w in NOT_NAMES for w in words) and not re.search(r"(?:Mr|Mrs|Ms|Dr|Prof)\. \Z", text[max(0, at - 6) : at])
+    return at, at + len(" ".join(words)) if named else at, run.end()
+
+
 def occurrences(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal information in a text, in reading order and without overlaps."""
     plain = text.translate(WIDE) if re.search(r"[０-９Ａ-Ｚａ-ｚ＠＋．－（）]", text) else text
     hits = [(end - n[1] + 1, n) for end, n in automaton.iter(plain)]
     found: list[tuple[int, int, str]] = []
-    done, spelt, streets, houses, names = -1, -1, False, [], []
+    done, spelt, english, houses, names = -1, -1, -1, [], []
     for start, (kind, size) in hits:
         if kind == "n":
             names.append((start, size))
@@ -223,22 +280,16 @@ def occurrences(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int,
                     found.append((start, run.end(), "phone"))
                 spelt = run.end()
         elif kind == "s":
-            streets = True
+            if place := english_address_at(plain, start):
+                found.append((*place, "address"))
+        elif kind == "e" and start >= english:
+            if name := english_name_at(plain, start):
+                english = name[2]
+                if name[1] > name[0]:
+                    found.append((name[0], name[1], "person"))
     for mark in houses:
         if place := address_at(plain, mark):
             found.append((*place, "address"))
-    if streets:
-        found += [(m.start(), m.end(), "address") for m in ENGLISH_ADDRESS.finditer(plain)]
-    if re.search(r"[a-z] [A-Z][a-z]+ [A-Z]|(?:\A|[.!?\n] ?)[A-Z][a-z]+ [A-Z]", plain):
-        for m in ENGLISH_NAME.finditer(plain):
-            words, at = m[0].split(" "), m.start()
-            while words and words[0] in NOT_NAMES:
-                if words[0] in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Professor", "Miss"):
-                    words = []
-                    break
-                at += len(words.pop(0)) + 1
-            if len(words) > 1 and not any(w in NOT_NAMES for w in words) and not re.search(r"(?:Mr|Mrs|Ms|Dr|Prof)\. \Z", plain[max(0, at - 6) : at]):
-                found.append((at, at + len(" ".join(words)), "person"))
     if names:
         ends = {e for _, e, k in found}
         last = None
