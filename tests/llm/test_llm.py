@@ -340,6 +340,22 @@ def test_defects(answer, wanted):
     assert pairs.defect(ASK + SOURCE, answer, pairs.refusal_automaton()) == wanted
 
 
+@pytest.mark.parametrize(
+    ("answer", "wanted"),
+    [
+        ("抱歉，我无法完成这项任务。" + "原文涉及尚未公开的调查数据，处理它们需要先得到学校的同意，而同意书并没有附在材料里，" * n + "请补齐以后再试。", "refusal") for n in (1, 3, 9)
+    ] + [
+        ("研究问题：抱歉，我不便回答。" + "原因是材料不全，需要另行补充说明以后才能处理。" * 8, "refusal"),
+        ("感谢提问。这个问题我不便回答，" + "因为材料里写到的几所学校还没有同意公开它们的数据" * 4 + "。", "refusal"),
+        (GOOD.replace("调整提问。", "学生坦言“抱歉，我无法回答”，教师调整提问。"), None),
+        ("概念界定依次展开，" * 20 + "有的学生无法回答追问。", None),
+        ("研究问题：\n" * 30, "empty"),
+    ],
+)
+def test_refusals_of_any_length(answer, wanted):
+    assert pairs.defect("请写出研究问题。" if wanted is None and "概念界定" in answer else ASK + SOURCE, answer, pairs.refusal_automaton()) == wanted
+
+
 def test_defects_of_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [("user", ASK)]), (4, [("assistant", GOOD)]), (5, [("user", None), ("assistant", GOOD)]), (6, [("user", "Write a summary."), ("assistant", "Die Gruppen haben das Projekt nicht geprüft und der Plan ist im Lesen.")])]
     df = spark.createDataFrame(rows, "sample_id int, messages array<struct<role:string,content:string>>")
@@ -378,6 +394,9 @@ def test_leaks(spark):
     assert clean[100] == "前文。。后文"
     assert clean[103] == passage[:14]
     assert clean[104] is None
+    again = sorted(map(tuple, leakage.decontaminate(d, items, "spans").collect()), key=str)
+    assert again == sorted(map(tuple, leakage.decontaminate(d, items, "spans", windows_per_pass=60).collect()), key=str)
+    assert len(again) == len(docs)
 
 
 # 8
@@ -436,6 +455,16 @@ def test_personal(text):
     assert [k for _, _, k in personal.occurrences(text, personal.anchors())] == FOUND[text]
 
 
+def test_long_local_parts_and_house_numbers():
+    known = personal.anchors()
+    for n in (1, 5, 60):
+        mail = ".".join(["abc-d"] * n) + "@x.org"
+        house = "石磨村第四村民小组" + "一" * n + "百二十三号"
+        for text, kind in ((f"写信到{mail}。", "email"), (f"-_{mail}", "email"), (f"寄到{house}。", "address")):
+            assert [(text[a:b], k) for a, b, k in personal.occurrences(text, known)] == [(mail if kind == "email" else house, kind)]
+    assert personal.occurrences("a_" * 40000 + "_@x.org", known) == []
+
+
 def test_masking_leaves_the_rest(spark):
     df = spark.createDataFrame([(1, "甲，电话１３８１２３４５６７８。乙", "k"), (2, None, None), (3, "", "k"), (1, "甲，电话１３８１２３４５６７８。乙", "k")], "doc_id bigint, text string, kind string")
     assert [r["text"] for r in personal.mask_personal(df).collect()] == ["甲，电话[PHONE]。乙", None, "", "甲，电话[PHONE]。乙"]
@@ -462,7 +491,8 @@ def test_every_hit_passage_is_verified():
     draw = random.Random(15)
     letters = [chr(0x4E00 + draw.randrange(8000)) for _ in range(120)]
     held = "".join("改" if i > 12 and i % 9 == 0 else c for i, c in enumerate(letters))
-    windows = leakage.Windows([(1, "".join(letters)), (2, "ashortlatinpassage")], leakage.WINDOW, leakage.LATIN_WINDOW)
+    passages = [(1, "".join(letters)), (2, "ashortlatinpassage")]
+    windows = leakage.Windows(dict(passages), leakage.window_set(passages, leakage.WINDOW, leakage.LATIN_WINDOW))
     assert [key for key, _, _ in windows("前文" + held + "后文", 0.5)] == [1]
     assert [(key, share) for key, share, _ in windows("before" + "ashortlatinpassage" + "behind", 0.5)] == [(2, 1.0)]
     assert not list(windows("".join(letters[:14]) + "其余都是别的文字" * 9, 0.5))
