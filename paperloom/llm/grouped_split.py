@@ -3,8 +3,9 @@
 Records that share any entity (a unit, a head of project) are one group, also through other records. The graph has the entities
 as nodes; a record with several of them is a star around its smallest. Equal edges are merged before anything is shuffled on, so
 a unit that holds a third of all records weighs no more than its distinct neighbours. Connected components come from alternating
-large-star and small-star steps, which need neither a driver-side structure nor a node's neighbours in one task: each step is a
-minimum per node and a join.
+large-star and small-star steps, which need no driver-side structure: each step is a minimum per node, combined before the shuffle,
+and a join. Nodes with more than a thousandth of all edges, and entities of as many records, are joined through a broadcast of their one value
+(:func:`.hot.join_hot`), so neither a hub's neighbours nor a hot entity's records meet in one task.
 
 Defined results: a record without entities is its own group with a null key. Null messages, metadata or numbers give no entity.
 Repeated rows get the same group. An empty table gives an empty result.
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .hot import join_hot
 
 #: How a report number may be written after width folding and upper-casing.
 NUMBER = r"([A-Z]{2}[0-9]{3})[^A-Z0-9]?([0-9]{4})[^A-Z0-9]?([0-9]{7})(?![0-9])"
@@ -51,21 +53,21 @@ def heads(message: Column) -> Column:
     lines = F.flatten(F.array(*(F.regexp_extract_all(message, F.lit(HEAD_LINE), F.lit(i)) for i in (1, 2, 3))))
     names = F.flatten(F.transform(lines, lambda x: F.split(x, SEPARATORS)))
     clean = F.transform(names, lambda x: F.regexp_replace(F.lower(narrow(x)), r"[\s　 ​.。:：]+", ""))
-    return F.coalesce(F.array_distinct(F.filter(clean, lambda x: F.length(x).between(2, 40))), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 2)), F.array().cast("array<string>"))
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Link every neighbour that is larger than a node to the smallest of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return join_hot(both.where("v > u"), least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e"))
+    linked = join_hot(down, least, "u").select(F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e"))
     return linked.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct()
 
 
@@ -87,12 +89,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def linked_groups(records: DataFrame, id_col: str, entities: str) -> DataFrame:
     """(<id>, component) where ``entities`` is an array<string>; the component is the smallest entity of the group, null without any."""
-    rows = records.select(F.col(id_col), F.array_sort(F.array_distinct(F.filter(F.col(entities), lambda x: x.isNotNull()))).alias("es"))
+    rows = checkpoint(records.select(F.col(id_col), F.array_sort(F.array_distinct(F.filter(F.col(entities), lambda x: x.isNotNull()))).alias("es")))
     stars = rows.where(F.size("es") > 1).select("es").distinct()
-    edges = stars.select(F.col("es")[0].alias("a"), F.explode(F.slice("es", 2, 1 << 20)).alias("b"))
+    edges = stars.select(F.col("es")[0].alias("a"), F.explode(F.slice("es", F.lit(2), F.size("es"))).alias("b"))
     found = components(edges)
     first = rows.select(id_col, F.when(F.size("es") > 0, F.get("es", F.lit(0))).alias("node"))
-    return first.join(found, "node", "left").select(id_col, F.coalesce("component", "node").alias("component"))
+    return join_hot(first, found, "node", keep=True).select(id_col, F.coalesce("component", "node").alias("component"))
 
 
 def sample_entities(samples: DataFrame, reports: DataFrame) -> DataFrame:

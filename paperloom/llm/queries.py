@@ -126,7 +126,7 @@ SQL = {
         names AS (SELECT sample_id, unnest(regexp_split_to_array(regexp_replace(line, '([一-鿿]{{2}})[和与及]([一-鿿]{{2}})', '\\1、\\2', 'g'), '\\s*(?:[、，,；;/／&＆|]|\\band\\b)\\s*')) AS name
           FROM (SELECT sample_id, unnest({_HEAD_LINES}) AS line FROM m)),
         plain AS (SELECT sample_id, regexp_replace(lower(translate(name, {_quoted(grouped_split.WIDE)}, {_quoted(grouped_split.NARROW)})), '[\\s\\p{{Z}}.。:：]+', '', 'g') AS name FROM names),
-        ent AS (SELECT DISTINCT sample_id, '1:' || name AS e FROM plain WHERE length(name) BETWEEN 2 AND 40
+        ent AS (SELECT DISTINCT sample_id, '1:' || name AS e FROM plain WHERE length(name) >= 2
           UNION SELECT sample_id, '0:' || unit FROM m JOIN filed ON filed.serial = {_serial('written')}
           UNION SELECT sample_id, '0:' || {_number('written', 1)} FROM m WHERE {_number('written', 1)} IS NOT NULL AND {_serial('written')} NOT IN (SELECT serial FROM filed)),
         reach AS (SELECT DISTINCT e AS node, e AS other FROM ent UNION SELECT r.node, b.e FROM reach r JOIN ent a ON a.e = r.other JOIN ent b ON a.sample_id = b.sample_id),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import grouped_split, leakage, lookalikes, mixing, overlap, pairs, personal, repetition, splitting
+from paperloom.llm import grouped_split, hot, leakage, lookalikes, mixing, overlap, pairs, personal, repetition, splitting
 from paperloom.llm.queries import QUERIES, SQL
 from paperloom.llm.segments import SegmentIndex
 
@@ -112,6 +112,34 @@ def test_groups_and_split(spark):
     assert len(split) == len(rows)
 
 
+def test_hot_joins(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "hot" if i % 2 else f"k{i % 40}", "x") for i in range(400)], "id int, key string, v string")
+    values = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", None), ("zz", 3)], "key string, value int")
+    for share in (0.0, 0.2, 1.0):
+        for keep in (False, True):
+            want = sorted(map(tuple, rows.join(values, "key", "left" if keep else "inner").select("id", "key", "v", "value").collect()))
+            assert sorted(map(tuple, hot.join_hot(rows, values, "key", keep, share).select("id", "key", "v", "value").collect())) == want
+    assert not hot.join_hot(rows.limit(0), values, "key", True).collect()
+
+
+def test_a_unit_with_a_third_of_all_rows_stays_spread(spark):
+    """The records of a hot entity and the neighbours of a hub are joined where they are."""
+    names = F.when(F.col("id") % 3 == 0, F.array(F.lit("0:HUB"), F.concat(F.lit("1:"), F.col("id").cast("string")))).otherwise(F.array(F.concat(F.lit("0:"), (F.col("id") % 5000).cast("string"))))
+    records = spark.range(0, 300_000, 1, 8).select("id", names.alias("es"))
+    found = grouped_split.linked_groups(records, "id", "es")
+    parts = [n for n, in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(parts) == 300_000
+    assert max(parts) < 0.2 * 300_000
+    assert found.where("component = '0:HUB'").count() == 100_000
+
+
+def test_many_entities_and_long_names(spark):
+    many = [f"e{i:06}" for i in range(3000)]
+    df = spark.createDataFrame([(1, many), (2, ["e002999", None]), (3, ["x" * 500, "e000000"]), (4, ["x" * 500]), (5, None), (6, [])], "id int, es array<string>")
+    got = {r["id"]: r["component"] for r in grouped_split.linked_groups(df, "id", "es").collect()}
+    assert got == {1: "e000000", 2: "e000000", 3: "e000000", 4: "e000000", 5: None, 6: None}
+
+
 def test_shares_hold_with_a_hot_group(spark):
     rows = [sample(i, "HH001-2020-1000000" if i % 3 == 0 else f"AA{i % 400:03}-2020-{i:07}") for i in range(2000)]
     samples = spark.createDataFrame(rows, SAMPLE)
