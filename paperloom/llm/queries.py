@@ -54,6 +54,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, d, "reports_sections"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.class_report(lookalikes.look_alike_members(table(spark, d, "reports_sections")))
+
+
 def p5_one_form(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form(table(spark, d, "reports_sections").select("ord", "title", "full_text"), "ord", ("title", "full_text"))
 
@@ -89,7 +93,7 @@ def p9_masked(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_split, p3_found, p3_classes, p3_report, p4_found, p4_report, p5_found, p5_one_form, p6_found, p7_found, p7_clean, p8_mix, p8_shares, p9_found, p9_masked)
+    for f in (p1_found, p1_pieces, p2_found, p2_split, p3_found, p3_classes, p3_report, p4_found, p4_report, p5_found, p5_classes, p5_one_form, p6_found, p7_found, p7_clean, p8_mix, p8_shares, p9_found, p9_masked)
 }
 
 def _quoted(text: str) -> str:
@@ -115,6 +119,9 @@ def _serial(text: str) -> str:
 _WRITTEN = "coalesce(" + ", ".join(f"CASE WHEN {_serial('meta.' + c)} IS NOT NULL THEN meta.{c} END" for c in ("doc_id", "safe_doc_id", "seed_stem", "seed_path")) + ")"
 _HEAD_LINES = " || ".join(f"regexp_extract_all(msg, '{grouped_split.HEAD_LINE}', {i})" for i in (1, 2, 3))
 
+_FORMS = f"""v AS (SELECT 'title' AS field, ord, title AS value FROM reports_sections UNION ALL SELECT 'full_text', ord, full_text FROM reports_sections),
+        f AS (SELECT field, ord, value, {_look_alike_form('value')} AS form FROM v WHERE regexp_matches(value, '[^\\s\\p{{Z}}\\p{{Cf}}]'))"""
+
 #: Those that SQL expresses at a bearable speed; the tests hold the others against brute force.
 SQL = {
     "p1_found": """
@@ -143,8 +150,16 @@ SQL = {
         SELECT ord FROM s GROUP BY ord, n HAVING round(sum(more) / n, 6) >= 0.3
     """,
     "p5_found": f"""
-        WITH v AS (SELECT 'title' AS field, ord, title AS value FROM reports_sections UNION ALL SELECT 'full_text', ord, full_text FROM reports_sections),
-        f AS (SELECT field, ord, value, {_look_alike_form('value')} AS form FROM v WHERE regexp_matches(value, '[^\\s\\p{{Z}}\\p{{Cf}}]'))
+        WITH {_FORMS}
         SELECT a.field, a.ord AS ord_a, b.ord AS ord_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.ord < b.ord AND a.value <> b.value
     """,
+    "p5_classes": f"""
+        WITH {_FORMS} SELECT field, min(ord) AS class_id, count(*) AS n_records, count(DISTINCT value) AS n_forms FROM f GROUP BY field, form HAVING count(DISTINCT value) > 1
+    """,
+    "p5_one_form": f"""
+        WITH {_FORMS}, c AS (SELECT field, form, arg_min(value, row(length(value), encode(value))) AS canonical FROM f GROUP BY field, form),
+        o AS (SELECT f.field, f.ord, {_look_alike_form('canonical')} AS value FROM f JOIN c ON f.field = c.field AND f.form = c.form)
+        SELECT r.ord, coalesce(t.value, {_look_alike_form('r.title')}) AS title, coalesce(b.value, {_look_alike_form('r.full_text')}) AS full_text
+        FROM reports_sections r LEFT JOIN o t ON t.ord = r.ord AND t.field = 'title' LEFT JOIN o b ON b.ord = r.ord AND b.field = 'full_text'
+    """,
 }

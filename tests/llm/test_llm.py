@@ -348,6 +348,18 @@ def test_look_alikes(spark):
     assert one[8] is None
 
 
+def test_values_without_a_partner_are_composed(spark):
+    draw = random.Random(21)
+    texts = ["cafe\u0301", "e\u0302\u0301x", "\u0301a", "か\u3099き", "o\u0302x\u0308", None, "", "plain 字"] + ["".join(draw.choice("aeionū字か \u0301\u0302\u0308") for _ in range(12)) + str(i) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord int, t string").withColumn("_form_0", F.lit("clash"))
+    got = {r["ord"]: r["t"] for r in lookalikes.one_form(df, "ord", ("t",)).collect()}
+    composed = [unicodedata.normalize("NFC", t) if t is not None else None for t in texts]
+    ordered = [t is not None and unicodedata.normalize("NFD", t) == "".join(unicodedata.normalize("NFD", c) for c in t) for t in texts]
+    assert {i: got[i] for i, fine in enumerate(ordered) if fine} == {i: composed[i] for i, fine in enumerate(ordered) if fine}
+    assert got[0] == "caf\xe9"
+    assert got[5] is None
+
+
 # 6
 
 ASK = "请依次写出研究问题、核心概念、研究目标和内容、研究成果、研究效果五个部分。\n【原文】\n"
