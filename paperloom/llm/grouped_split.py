@@ -4,7 +4,7 @@ Records that share any entity (a unit, a head of project) are one group, also th
 as nodes; a record with several of them is a star around its smallest. Equal edges are merged before anything is shuffled on, so
 a unit that holds a third of all records weighs no more than its distinct neighbours. Connected components come from alternating
 large-star and small-star steps, which need no driver-side structure: each step is a minimum per node, combined before the shuffle,
-and a join. Nodes with more than a thousandth of all edges, and entities of as many records, are joined through a broadcast of their one value
+and a join. In large graphs nodes with more than a thousandth of all edges, and always entities of as many records, are joined through a broadcast of their one value
 (:func:`.hot.join_hot`), so neither a hub's neighbours nor a hot entity's records meet in one task.
 
 Defined results: a record without entities is its own group with a null key. Null messages, metadata or numbers give no entity.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .hot import join_hot
 
+FEW_EDGES = 1_000_000
 #: How a report number may be written after width folding and upper-casing.
 NUMBER = r"([A-Z]{2}[0-9]{3})[^A-Z0-9]?([0-9]{4})[^A-Z0-9]?([0-9]{7})(?![0-9])"
 SERIAL = r"(?<![0-9])([0-9]{7})(?![0-9])"
@@ -56,28 +57,32 @@ def heads(message: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 2)), F.array().cast("array<string>"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, join=join_hot) -> DataFrame:
     """Link every neighbour that is larger than a node to the smallest of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join_hot(both.where("v > u"), least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return join(both.where("v > u"), least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, join=join_hot) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = join_hot(down, least, "u").select(F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e"))
+    linked = join(down, least, "u").select(F.explode(F.array(F.struct("m", F.col("v").alias("x")), F.struct("m", F.col("u").alias("x")))).alias("e"))
     return linked.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for edges (a, b); the component is its smallest node. Nodes without an edge to another are left out."""
+def components(edges: DataFrame, most_rounds: int = 60, few_edges: int = FEW_EDGES) -> DataFrame:
+    """(node, component) for edges (a, b); the component is its smallest node. Nodes without an edge to another are left out.
+
+    Up to ``few_edges`` edges fit one task whatever their shape, so hubs are only split beyond that.
+    """
     now = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mark = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(now)
     for _ in range(most_rounds):
-        now = checkpoint(small_star(large_star(now)))
+        join = join_hot if before[0] > few_edges else DataFrame.join
+        now = checkpoint(small_star(large_star(now, join), join))
         after = mark(now)
         if after == before:
             break
