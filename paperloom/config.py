@@ -39,11 +39,11 @@ LIMITS = Limits()
 
 #: Sections in order of priority, each with the aliases that a heading may contain.
 TAXONOMY: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("研究问题", tuple("研究问题 核心问题 主要问题 关键问题 研究的主要问题 问题的提出 问题提出 存在问题 问题分析 问题与对策".split())),
-    ("核心概念", tuple("核心概念 概念界定 相关概念界定 基本概念界定 主要概念界定 术语界定 名词界定 核心概念界定 相关概念 核心术语界定".split())),
-    ("研究目标和内容", tuple("研究目标和内容 研究目标与内容 研究目标及内容 研究目的与内容 研究目标 研究目的 研究内容 主要内容 研究的主要内容 研究目标与主要内容 研究目标与任务 研究任务 研究思路与实施内容 研究过程与内容 实施内容 研究计划与内容".split())),
-    ("研究成果", tuple("研究成果 主要成果 阶段成果 课题成果 课题研究成果 研究收获 研究结论 主要结论 研究进展与成果 创新点 特色与创新 成果概述 研究产出".split())),
-    ("研究效果", tuple("研究效果 实施效果 应用效果 实践效果 推广效果 应用价值 成果应用 成果推广 社会效益 教学效果 实施成效 研究成效 预期目标达成情况 课题实施效果 综合效果".split())),
+    ("研究问题", ("研究问题", "核心问题", "主要问题", "关键问题", "研究的主要问题", "问题的提出", "问题提出", "存在问题", "问题分析", "问题与对策")),
+    ("核心概念", ("核心概念", "概念界定", "相关概念界定", "基本概念界定", "主要概念界定", "术语界定", "名词界定", "核心概念界定", "相关概念", "核心术语界定")),
+    ("研究目标和内容", ("研究目标和内容", "研究目标与内容", "研究目标及内容", "研究目的与内容", "研究目标", "研究目的", "研究内容", "主要内容", "研究的主要内容", "研究目标与主要内容", "研究目标与任务", "研究任务", "研究思路与实施内容", "研究过程与内容", "实施内容", "研究计划与内容")),
+    ("研究成果", ("研究成果", "主要成果", "阶段成果", "课题成果", "课题研究成果", "研究收获", "研究结论", "主要结论", "研究进展与成果", "创新点", "特色与创新", "成果概述", "研究产出")),
+    ("研究效果", ("研究效果", "实施效果", "应用效果", "实践效果", "推广效果", "应用价值", "成果应用", "成果推广", "社会效益", "教学效果", "实施成效", "研究成效", "预期目标达成情况", "课题实施效果", "综合效果")),
 )
 TITLES: tuple[str, ...] = tuple(name for name, _ in TAXONOMY)
 
@@ -54,12 +54,8 @@ PART_TOO_LONG, BAD_STRUCTURE, QUOTES = " 超过三百字", "未按五段结构
 EMPTY_SOURCE = "empty_full_text"
 
 #: Prompts.
-_RULES = (
-    "硬性约束：一、每段不超过三百字；二、总字数不超过一千五百字；三、不得出现英文、字母、阿拉伯数字或罗马数字；四、不得编造、不得扩展、不得加入原文没有的信息；"
-    "五、不得引用原文句子（不要出现引号或逐句摘抄），用概括表达；六、语言风格正式、收束、与 seed 样式一致；"
-)
-STYLE_FULL = "你是一名教育科研报告“主旨提取”助手。请仅依据原文内容，按固定结构输出五段：研究问题、核心概念、研究目标和内容、研究成果、研究效果。" + _RULES + "七、若原文信息不足以支撑某段，仍需用审慎表达给出该段的可证据化概括，不得虚构细节。"
-STYLE_EVIDENCE = "你是一名教育科研报告“主旨提取”助手。请仅依据原文证据内容，按固定结构输出五段：研究问题、核心概念、研究目标和内容、研究成果、研究效果。" + _RULES + "七、若原文信息不足以支撑某段，仍需用审慎表达给出可证据化概括，不得虚构细节。"
+STYLE_FULL = "你是一名教育科研报告“主旨提取”助手。请仅依据原文内容，按固定结构输出五段：研究问题、核心概念、研究目标和内容、研究成果、研究效果。硬性约束：一、每段不超过三百字；二、总字数不超过一千五百字；三、不得出现英文、字母、阿拉伯数字或罗马数字；四、不得编造、不得扩展、不得加入原文没有的信息；五、不得引用原文句子（不要出现引号或逐句摘抄），用概括表达；六、语言风格正式、收束、与 seed 样式一致；七、若原文信息不足以支撑某段，仍需用审慎表达给出该段的可证据化概括，不得虚构细节。"
+STYLE_EVIDENCE = "你是一名教育科研报告“主旨提取”助手。请仅依据原文证据内容，按固定结构输出五段：研究问题、核心概念、研究目标和内容、研究成果、研究效果。硬性约束：一、每段不超过三百字；二、总字数不超过一千五百字；三、不得出现英文、字母、阿拉伯数字或罗马数字；四、不得编造、不得扩展、不得加入原文没有的信息；五、不得引用原文句子（不要出现引号或逐句摘抄），用概括表达；六、语言风格正式、收束、与 seed 样式一致；七、若原文信息不足以支撑某段，仍需用审慎表达给出可证据化概括，不得虚构细节。"
 SYSTEM_FULL = "你是一个严格遵循指令的中文写作模型。输出必须由给定原文直接支撑，且必须完全满足格式与长度约束。"
 SYSTEM_EVIDENCE = "你是一个严格遵循指令的中文写作模型。输出必须由给定原文证据直接支撑，且必须完全满足格式与长度约束。"
 SOURCE_HEAD, ASK = "【原文】\n", "请开始输出。"

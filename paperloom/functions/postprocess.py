@@ -12,7 +12,7 @@ from .text import WS, normalize_text, strip
 
 ANY = "|".join(TITLES)
 STOPS = rf"(?:[，,。；;、]|{WS})"
-#: Applied in this order after the first normalisation.
+#: Applied in this order after the first normalisation.
 RULES: tuple[tuple[str, str], ...] = (
     (rf"({ANY}){WS}*[:：]{{2,}}{WS}*", "$1："),
     (r"[:：]{2,}", "："),

@@ -36,7 +36,7 @@ def split_sections(c: Column | str, mark_needed: bool = False, titles: tuple[str
 
     def cut(body: Column) -> Column:
         names = F.regexp_extract_all(body, F.lit(f"({any_title}){mark}"), F.lit(1))
-        bodies = F.slice(F.split(body, f"(?:{any_title}){mark}"), 2, 1 << 20)
+        bodies = let(F.split(body, f"(?:{any_title}){mark}"), lambda pieces: F.slice(pieces, F.lit(2), F.size(pieces)))
         return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.alias("body")))
 
     def kept(pieces: Column) -> Column:

@@ -16,6 +16,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def has_text(c: Column | str) -> Column:
+    """Whether anything but white space is there."""
+    return text(c).rlike(WS.replace("[", "[^", 1))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
@@ -53,9 +58,9 @@ def guided_query(title: Column | str, hint: Column | str) -> Column:
     return F.substring(normalize_text(joined), 1, LIMITS.query_chars)
 
 
-def evidence_block(title: Column, c: Column) -> Column:
-    """A block under its section's header; null where there is no text."""
-    return let(normalize_text(c), lambda body: F.when(body != "", F.concat(F.lit("【"), title, F.lit("证据】\n"), body)))
+def evidence_block(title: Column, c: Column, normal: bool = False) -> Column:
+    """A block under its section's header; null where there is no text. A text that is normalised already is ``normal``."""
+    return let(c if normal else normalize_text(c), lambda body: F.when(body != "", F.concat(F.lit("【"), title, F.lit("证据】\n"), body)))
 
 
 def merge_sections(parts: dict[str, Column], titles: tuple[str, ...] = TITLES) -> Column:

@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import EMPTY_SOURCE
 from ..functions.text import loose_key, normalize_text, safe_filename, text
 
 
 def document_index(docs: DataFrame, order: str) -> DataFrame:
-    """One row per identifier: the last record's values at the place of its first; ``doc_ord`` is that place. Blank ones are left out."""
+    """One row per identifier: (doc_id, doc_ord, last_ord, safe_doc_id) and the last record's other columns.
+
+    ``doc_ord`` is the place of its first record, ``last_ord`` that of its last. Blank identifiers are left out. Minima and maxima are
+    combined before the shuffle; leave large texts out of ``docs`` and fetch those of the rows that are needed with :func:`with_last`.
+    """
     named = docs.withColumn("doc_id", normalize_text("doc_id")).where("doc_id <> ''")
-    one = Window.partitionBy("doc_id")
-    ranked = named.withColumn("doc_ord", F.min(order).over(one)).withColumn("_n", F.row_number().over(one.orderBy(F.desc(order))))
-    return ranked.where("_n = 1").drop("_n").withColumn("safe_doc_id", safe_filename("doc_id"))
+    others = [c for c in docs.columns if c not in ("doc_id", order)]
+    last = [F.max_by(F.struct(*others), order).alias("_last")] if others else []
+    one = named.groupBy("doc_id").agg(F.min(order).alias("doc_ord"), F.max(order).alias("last_ord"), *last)
+    return one.select("doc_id", "doc_ord", "last_ord", safe_filename("doc_id").alias("safe_doc_id"), *(["_last.*"] if others else []))
+
+
+def with_last(rows: DataFrame, docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Rows of an index with columns of the last record of their document."""
+    return rows.join(docs.select(F.col(order).alias("last_ord"), *columns), "last_ord")
 
 
 def _keys(tiers: list) -> F.Column:

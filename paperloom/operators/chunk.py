@@ -11,9 +11,24 @@ from ..functions.binding import let
 from ..functions.text import strip, text
 
 
+#: The stand-in tokenizer: one ideograph, one run of other letters and digits, or one mark each.
+IDEOGRAPHS = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+RUN = rf"[\p{{L}}\p{{N}}_&&[^{IDEOGRAPHS}]]+"
+TOKEN = rf"[{IDEOGRAPHS}]|{RUN}|[^\p{{L}}\p{{N}}_\p{{Z}}\s]"
+
+
 def word_tokens(c: Column | str) -> Column:
-    """The stand-in tokenizer: one ideograph, one run of other letters and digits, or one mark each."""
-    return F.regexp_extract_all(text(c), F.lit(r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]|[\p{L}\p{N}_&&[^\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]]+|[^\p{L}\p{N}_\p{Z}\s]"), F.lit(0))
+    return F.regexp_extract_all(text(c), F.lit(TOKEN), F.lit(0))
+
+
+def count_tokens(c: Column | str) -> Column:
+    """How many tokens :func:`word_tokens` gives, without making them: what is left when runs are one letter and white space is gone."""
+    return F.length(F.regexp_replace(F.regexp_replace(text(c), RUN, "w"), r"[\p{Z}\s]+", ""))
+
+
+def has_tokens(c: Column | str) -> Column:
+    """Whether there is a token. A filter on the tokens themselves would be pushed below them and make them twice."""
+    return text(c).rlike(r"[^\p{Z}\s]")
 
 
 def token_chunks(tokens: Column, size: int = LIMITS.chunk_tokens, overlap: int = LIMITS.token_overlap) -> Column:
@@ -85,7 +100,7 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str, size: int = LIMITS.ch
 
 def token_chunk_table(df: DataFrame, id_col: str, text_col: str, size: int = LIMITS.chunk_tokens, overlap: int = LIMITS.token_overlap) -> DataFrame:
     """(<id>, chunk_idx, tokens, text); tokens are joined by spaces, as a stand-in for a tokenizer's own decoding."""
-    tokens = df.select(id_col, word_tokens(text_col).alias("tokens")).where("size(tokens) > 0")
+    tokens = df.where(has_tokens(text_col)).select(id_col, word_tokens(text_col).alias("tokens"))
     rows = tokens.select(id_col, F.posexplode(token_chunks(F.col("tokens"), size, overlap)).alias("chunk_idx", "tokens"))
     return rows.withColumn("text", F.array_join("tokens", " "))
 

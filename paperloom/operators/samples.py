@@ -11,7 +11,8 @@ from ..functions.binding import let
 from ..functions.text import normalize_text, strip, text
 from . import align
 from .chunk import paragraph_chunks
-from .evidence import uniform
+from .evidence import jittered, measured, uniform, within_budget
+from .tokens import chat_text
 
 
 def message(role: str, content: Column) -> Column:
@@ -29,9 +30,12 @@ def source_text(full_text: Column, title: Column, sections: Column) -> Column:
 
 def chat_samples(reports: DataFrame, seeds: DataFrame, order: str = "ord", size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> DataFrame:
     """(messages, meta): one sample per seed whose document has text."""
-    docs = reports.withColumn("source", source_text(F.col("full_text"), F.col("title"), F.col("sections"))).select("doc_id", "title", "source", order)
+    docs = reports.withColumn("source", source_text(F.col("full_text"), F.col("title"), F.col("sections"))).select(order, "title", "source")
     targets = seeds.withColumn("target", normalize_text("target")).where("target <> ''")
-    rows = align.matched(targets, align.document_index(docs, order)).where("source <> ''").withColumn("chunks", paragraph_chunks("source", size, overlap))
+    index = align.document_index(reports.select("doc_id", order), order)
+    sources = align.with_last(index.join(align.align(targets, index).select("doc_id").distinct(), "doc_id", "left_semi"), docs, order, ["title", "source"])
+    cut = sources.where("source <> ''").withColumn("chunks", paragraph_chunks("source", size, overlap))
+    rows = targets.join(align.align(targets, index), "seed_stem").join(cut, "doc_id")
     rows = rows.withColumn("merged", strip(F.array_join("chunks", "\n\n")))
     user = F.concat(F.lit(f"{STYLE_FULL}\n\n{SOURCE_HEAD}"), F.col("merged"), F.lit(f"\n\n{ASK}"))
     meta = F.struct(
@@ -47,12 +51,35 @@ def chat_samples(reports: DataFrame, seeds: DataFrame, order: str = "ord", size:
     return rows.select(F.array(message("system", F.lit(SYSTEM_FULL)), message("user", user), message("assistant", F.col("target"))).alias("messages"), meta.alias("meta"))
 
 
-def evidence_samples(clipped: DataFrame, targets: DataFrame, id_col: str = "doc_id", tip_share: float = LIMITS.tip_share, seed: int = LIMITS.seed) -> DataFrame:
-    """(<id>, variant, messages) from clipped blocks per document and variant; some prompts carry a reminder of the rules."""
-    joined = clipped.groupBy(id_col, "variant").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n\n").alias("evidence"))
+def evidence_samples(
+    docs: DataFrame, id_col: str = "doc_id", variants: int = LIMITS.variants, tip_share: float = LIMITS.tip_share, budget: int = LIMITS.budget_tokens, seed: int = LIMITS.seed
+) -> DataFrame:
+    """(<id>, variant, messages) from (<id>, blocks, target): per variant the distinct (normalised) blocks, jittered and within the budget.
+
+    Some prompts carry a reminder of the rules. A variant without a block has no ``messages``. Everything stays in the document's row.
+    """
+    rows = docs.select(id_col, "target", measured(F.array_distinct("blocks"), normal=True).alias("_rows")).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
+    chosen = rows.withColumn("_chosen", within_budget(jittered(F.col("_rows"), F.col(id_col), F.col("variant"), seed=seed), budget))
+    joined = chosen.withColumn("evidence", F.when(F.size("_chosen") > 0, F.array_join("_chosen", "\n\n")))
     tip = F.when(uniform(F.col(id_col).cast("string"), F.col("variant").cast("string"), F.lit("tip"), seed=seed) < tip_share, F.lit(QUALITY_TIP)).otherwise(F.lit(""))
     user = F.concat(F.lit(f"{STYLE_EVIDENCE}\n\n{EVIDENCE_INTRO}"), F.col("evidence"), tip, F.lit(f"\n\n{ASK}"))
-    return joined.join(targets, id_col).select(id_col, "variant", F.array(message("system", F.lit(SYSTEM_EVIDENCE)), message("user", user), message("assistant", F.col("target"))).alias("messages"))
+    messages = F.array(message("system", F.lit(SYSTEM_EVIDENCE)), message("user", user), message("assistant", F.col("target")))
+    return joined.select(id_col, "variant", F.when(F.col("evidence").isNotNull(), messages).alias("messages"))
+
+
+def encoded_chat(samples_: DataFrame, ids, most: int = LIMITS.sequence, pad: int = 0) -> DataFrame:
+    """Adds ``encoded``, all messages but the last under the chat template as prefix and the last as the answer, both through ``ids``, and
+    ``n_supervised``, how many tokens of the answer have labels (told from the answer alone, so a filter on it needs no prefix)."""
+    prefix = chat_text(F.slice("messages", F.lit(1), F.size("messages") - 1), answer_next=True)
+    answer = F.element_at("messages", -1)["content"]
+    rows = samples_.withColumn("_prefix", ids(prefix)).withColumn("_answer", ids(text(answer)))
+    size = F.when(F.col("messages").isNotNull(), F.least(F.size("_answer"), F.lit(most)))
+    return rows.select(*samples_.columns, encode(F.col("_prefix"), F.col("_answer"), most, pad).alias("encoded"), size.alias("n_supervised"))
+
+
+def well_supervised(encoded: DataFrame, least: int = LIMITS.least_supervised) -> DataFrame:
+    """The samples with enough tokens to learn from."""
+    return encoded.where(F.col("n_supervised") >= least)
 
 
 def encode(prefix: Column, answer: Column, most: int = LIMITS.sequence, pad: int = 0) -> Column:
@@ -92,6 +119,3 @@ def exact_split(df: DataFrame, key: str, ratio: float = LIMITS.valid_ratio, seed
     valid = rank <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))
     return placed.withColumn("split", F.when(valid, "valid").otherwise("train")).drop("_draw", "_bucket", "_size", "_before", "_n")
 
-
-def without_blank(df: DataFrame, c: str) -> DataFrame:
-    return df.where(strip(text(c)) != "")

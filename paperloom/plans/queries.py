@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, TAXONOMY, TITLES
+from ..config import ASK, EVIDENCE_INTRO, LIMITS, QUALITY_TIP, SOURCE_HEAD, STYLE_EVIDENCE, STYLE_FULL, SYSTEM_FULL, TAXONOMY, TITLES
 from ..functions.headings import looks_like_heading, match_section, normalize_heading
 from ..functions.postprocess import cleaned_lines, rebuilt
 from ..functions.quality import five_sections, qc_section, qc_summary
 from ..functions.text import cache_key, evidence_block, guided_query, loose_key, merge_sections, normalize_text, safe_filename, strip_title_prefix, text, visible_length
-from ..operators import align, chunk, convert, evidence, report, retrieve, samples, sections
+from ..operators import align, chunk, convert, evidence, generate, report, retrieve, samples, sections, tokens
 from ..session import table
 from ..sources.files import stem, suffix
 from . import pipeline
@@ -35,9 +35,12 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "sft_train").select("sample_id", text(answer).alias("answer"))
 
 
-def _index(s: SparkSession, d: str) -> DataFrame:
-    docs = _reports(s, d, "ord", "doc_id", "title", "sections", "full_text")
-    return align.document_index(docs.select("ord", "doc_id", samples.source_text(F.col("full_text"), F.col("title"), F.col("sections")).alias("source")), "ord")
+def _index(s: SparkSession, d: str, *columns) -> DataFrame:
+    return align.document_index(_reports(s, d, "ord", "doc_id", *columns), "ord")
+
+
+def _source() -> F.Column:
+    return samples.source_text(F.col("full_text"), F.col("title"), F.col("sections"))
 
 
 def _seeds(s: SparkSession, d: str) -> DataFrame:
@@ -81,8 +84,7 @@ def cache_keys(s, d):
 
 
 def doc_title(s, d):
-    best = F.min_by("text", F.when(F.length("text") <= LIMITS.title_chars, F.col("pos")))
-    return _lines(s, d).groupBy("ord").agg(F.coalesce(best, F.lit("")).alias("title"))
+    return sections.text_records(_reports(s, d, "ord", "full_text"), "ord", "full_text").select("ord", "title")
 
 
 def heading_match(s, d):
@@ -91,12 +93,17 @@ def heading_match(s, d):
 
 
 def section_forward_fill(s, d):
+    return sections.section_counts(_reports(s, d, "ord", "full_text"), "ord", "full_text")
+
+
+def section_windows(s, d):
+    """The same through windows, as for paragraphs that come as rows."""
     filled = sections.section_fill(_lines(s, d), "ord").where(~F.col("is_heading"))
     return filled.groupBy("ord", "section").agg(F.count(F.lit(1)).alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def section_text(s, d):
-    records = sections.section_records(_lines(s, d), "ord")
+    records = sections.text_records(_reports(s, d, "ord", "full_text"), "ord", "full_text")
     return records.select("ord", "title", *(F.md5(F.col("sections")[t]).alias(f"section_{i}") for i, t in enumerate(TITLES, 1)), F.length("full_text").cast("bigint").alias("n_chars"))
 
 
@@ -110,22 +117,22 @@ def paragraph_chunks(s, d):
 
 
 def token_chunks(s, d):
-    rows = chunk.token_chunk_table(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", 200, 40)
-    return rows.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.size("tokens").cast("bigint").alias("n_tokens"), F.md5("text").alias("digest"))
+    rows = chunk.token_chunk_table(_reports(s, d, "ord", "full_text"), "ord", "full_text")
+    return rows.select("ord", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.size("tokens").cast("bigint").alias("n_tokens"), F.md5("text").alias("digest"))
 
 
 def prefix_dedup(s, d):
-    rows = table(s, d, "documents").select("doc_id", "text").where("text is not null")
-    return chunk.keep_first(rows, F.md5(F.substring("text", 1, LIMITS.dedup_prefix)), ["doc_id"]).select("doc_id")
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", F.md5(F.substring("text", 1, LIMITS.dedup_prefix)).alias("head"))
+    return chunk.keep_first(rows, F.col("head"), ["doc_id"]).select("doc_id")
 
 
 def md5_dedup(s, d):
-    rows = table(s, d, "documents").select("doc_id", "source", "text").where("text is not null")
-    return chunk.keep_first(rows, F.md5("text"), ["doc_id"], ["source"]).select("doc_id", "source")
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", "source", F.md5("text").alias("digest"))
+    return chunk.keep_first(rows, F.col("digest"), ["doc_id"], ["source"]).select("doc_id", "source")
 
 
 def document_index(s, d):
-    return _index(s, d).select("doc_id", "safe_doc_id", F.col("doc_ord").alias("doc_ord"), F.md5("source").alias("digest"))
+    return _index(s, d, F.md5(_source()).alias("digest")).select("doc_id", "safe_doc_id", "doc_ord", "digest")
 
 
 def seed_alignment(s, d):
@@ -133,7 +140,7 @@ def seed_alignment(s, d):
 
 
 def unmatched_seeds(s, d):
-    return align.unmatched_seeds(_seeds(s, d), _index(s, d))
+    return align.unmatched_seeds(_seeds(s, d), _index(s, d, F.left(_source(), F.lit(1)).alias("source")))
 
 
 def unmatched_docs(s, d):
@@ -154,7 +161,7 @@ def encoded_samples(s, d):
     said = lambda *roles: F.array_join(F.transform(F.filter("messages", lambda m: m.role.isin(*roles)), lambda m: F.coalesce(m.content, F.lit(""))), "\n")
     ids = lambda c: F.transform(chunk.word_tokens(c), lambda t: F.length(t))
     rows = table(s, d, "sft_train").where("messages is not null").select("sample_id", ids(said("system", "user")).alias("prefix"), ids(said("assistant")).alias("answer"))
-    done = rows.select("sample_id", samples.encode(F.col("prefix"), F.col("answer"), 512).alias("encoded"))
+    done = rows.select("sample_id", samples.encode(F.col("prefix"), F.col("answer")).alias("encoded"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return done.select("sample_id", F.size("encoded.input_ids").cast("bigint").alias("n_ids"), total("encoded.input_ids").alias("sum_ids"), total("encoded.attention_mask").alias("n_seen"), samples.supervised(F.col("encoded.labels")).cast("bigint").alias("n_supervised"))
 
@@ -182,7 +189,7 @@ def evidence_blocks(s, d):
 
 def budget_clip(s, d):
     rows = _section_rows(s, d).select("ord", "section_ord", F.col("text").alias("block"))
-    done = evidence.budget_clip(rows, ["ord"], ["section_ord"], 1200)
+    done = evidence.budget_clip(rows, ["ord"], ["section_ord"])
     return done.select("ord", F.col("section_ord").cast("bigint").alias("section_ord"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("used").cast("bigint").alias("used"))
 
 
@@ -191,6 +198,54 @@ def evidence_variants(s, d):
     return evidence.jitter(rows, "ord").select("ord", F.col("variant").cast("bigint").alias("variant"), F.col("place").cast("bigint").alias("place"), F.md5("block").alias("digest"))
 
 
+def evidence_prompts(s, d):
+    """Training samples from stored sections as evidence and their merged text as answer: jitter, budget, prompt, labels, filter."""
+    parts = {t: F.coalesce(F.col("sections")[t], F.lit("")) for t in TITLES}
+    blocks = F.filter(F.array(*(evidence_block(F.lit(t), p) for t, p in parts.items())), lambda b: b.isNotNull())
+    made = samples.evidence_samples(_reports(s, d, "ord", "sections").select("ord", blocks.alias("blocks"), merge_sections(parts).alias("target")), "ord").where("messages is not null")
+    kept = samples.well_supervised(samples.encoded_chat(made, lambda c: F.transform(chunk.word_tokens(c), lambda t: F.length(t))))
+    return kept.select("ord", F.col("variant").cast("bigint").alias("variant"), F.md5(F.col("messages")[1]["content"]).alias("digest"), F.col("n_supervised").cast("bigint").alias("n_supervised"))
+
+
+def supervision(s, d):
+    rows = table(s, d, "sft_train").where("messages is not null and size(messages) > 1").select("sample_id", "messages")
+    encoded = samples.encoded_chat(rows, lambda c: F.transform(chunk.word_tokens(c), lambda t: F.length(t)))
+    return samples.supervision_report(encoded)
+
+
+def chat_texts(s, d):
+    return table(s, d, "sft_train").where("messages is not null").select("sample_id", F.md5(tokens.chat_text(F.col("messages"), True)).alias("digest"))
+
+
+def token_round_trip(s, d, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"):
+    """Texts through the ids of a public vocabulary and back."""
+    load = tokens.bpe(vocabulary)
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", tokens.encode_ids(load)(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.md5(tokens.decode_ids(load)(F.col("ids"))).alias("digest"))
+
+
+def training_samples(s, d):
+    made = pipeline.training_samples(_reports(s, d, "ord", "doc_id", "full_text"), table(s, d, "seeds"))
+    return made.where("n_supervised is not null").select("doc_id", "variant", F.md5(F.col("messages")[1]["content"]).alias("digest"), "n_supervised")
+
+
+def training_counts(s, d):
+    return pipeline.training_counts(pipeline.training_samples(_reports(s, d, "ord", "doc_id", "full_text"), table(s, d, "seeds")))
+
+
+def qa_texts(s, d):
+    """Stored sections as if they had just been generated, with the verdicts below them."""
+    own = {t: normalize_text(F.coalesce(F.col("sections")[t], F.lit(""))) for t in TITLES}
+    rows = _reports(s, d, "ord", "sections").select("ord", merge_sections(own).alias("merged"), F.create_map(*(x for t, c in own.items() for x in (F.lit(t), qc_section(c)))).alias("fails"))
+    judged = rows.withColumn("reasons", qc_summary("merged"))
+    return judged.select("ord", F.md5(generate.qa_text(F.col("merged"), F.col("reasons"), F.col("fails"))).alias("digest"))
+
+
+def qa_probe(s, d):
+    docs = _reports(s, d, F.col("ord").cast("string").alias("doc_id"), F.col("full_text").alias("text"))
+    return pipeline.qa_probe(docs)
+
+
 def qc_sections(s, d):
     return _section_rows(s, d).select("ord", "section", F.array_join(qc_section("text"), "|").alias("reasons"))
 
@@ -248,7 +303,7 @@ QUERIES = {
     for f in (
         section_text, section_forward_fill, doc_title, heading_match, section_lengths, text_normalize, safe_names, loose_keys, visible_lengths, title_prefixes,
         guided_queries, merged_sections, cache_keys, paragraph_chunks, token_chunks, prefix_dedup, md5_dedup, document_index, seed_alignment, unmatched_seeds,
-        unmatched_docs, seed_map, chat_samples, encoded_samples, train_valid_split, cosine_topn, mmr_rerank, evidence_blocks, budget_clip, evidence_variants,
+        section_windows, unmatched_docs, seed_map, chat_samples, chat_texts, encoded_samples, supervision, evidence_prompts, training_samples, training_counts, token_round_trip, qa_texts, qa_probe, train_valid_split, cosine_topn, mmr_rerank, evidence_blocks, budget_clip, evidence_variants,
         qc_sections, qc_answers, split_answers, cleaned_answers, run_pass_rate, run_reasons, run_section_failures, file_kinds, pending_conversions, summaries,
     )
 }
@@ -351,7 +406,95 @@ def _draw(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '{LIMITS.seed}')), 1, 8))::BIGINT / 4294967296.0)"
 
 
+_SIZE, _STEP = LIMITS.chunk_tokens, LIMITS.chunk_tokens - LIMITS.token_overlap
+
+
+def _packed(source: str, key: str) -> str:
+    """The fold over paragraphs of ``source`` (key, body) as a recursion; ``packed`` has (key, chunks) before repeated ones go."""
+    body, size, overlap = _norm("body"), LIMITS.chunk_chars, LIMITS.chunk_overlap
+    cut = f"CASE WHEN contains(body, chr(10) || chr(10)) THEN string_split(body, chr(10) || chr(10)) ELSE string_split(body, chr(10)) END"
+    return f"""
+  paras AS (SELECT {key} AS k, list_filter(list_transform({cut}, lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM {source}),
+  fold AS (
+    SELECT k, ps, 0 AS i, []::VARCHAR[] AS done, NULL::VARCHAR AS buf, 0::BIGINT AS n FROM paras
+    UNION ALL
+    SELECT k, ps, i + 1,
+      CASE WHEN fits THEN done WHEN length(p) > {size} THEN list_concat(closed, list_transform(range(0, length(p), {size}), lambda a: {_strip(f"substr(p, a::BIGINT + 1, {size})")})) ELSE closed END,
+      CASE WHEN fits THEN coalesce(buf || chr(10) || chr(10), '') || p WHEN length(p) > {size} THEN NULL WHEN tail <> '' THEN tail || chr(10) || chr(10) || p ELSE p END,
+      CASE WHEN fits THEN n + length(p) + 2 WHEN length(p) > {size} THEN 0 WHEN tail <> '' THEN length(tail) + length(p) + 2 ELSE length(p) END
+    FROM (SELECT *, coalesce({_strip(f"right(closed[-1], {overlap})")}, '') AS tail FROM
+      (SELECT *, ps[i + 1] AS p, length(ps[i + 1]) <= {size} AND n + length(ps[i + 1]) + 2 <= {size} AS fits, CASE WHEN buf IS NULL THEN done ELSE list_append(done, {_strip('buf')}) END AS closed
+       FROM fold WHERE i < len(ps)))),
+  packed AS (SELECT k, CASE WHEN buf IS NULL THEN done ELSE list_append(done, {_strip('buf')}) END AS chunks FROM fold WHERE i = len(ps)),
+  spread AS (SELECT k, unnest(chunks) AS c, unnest(range(len(chunks))) AS nth FROM packed),
+  firsts AS (SELECT k, nth, c FROM spread QUALIFY row_number() OVER (PARTITION BY k, left(c, {LIMITS.dedup_prefix}) ORDER BY nth) = 1)"""
+
+
+def _cleaned() -> str:
+    """The replacements one after the other; look-ahead is spelt out with groups, and word ends with the characters around them."""
+    ws, stops, t = _WS, rf"(?:[，,。；;、]|{_WS})", _norm("answer")
+    letter = r"\p{L}\p{N}_"
+    far = r"[^\t-\r\x{1c}-\x{1f}\x{85}\p{Z}\x{4e00}-\x{9fa5}]+"
+    rules = [
+        (rf"({_ANY}){ws}*[:：]{{2,}}{ws}*", r"\1："), (r"[:：]{2,}", "："), (rf"(研究问题[:：]{ws}*)(?:研究发现|发现|在于){ws}*", r"\1"), (rf"(研究效果[:：]{ws}*)方面{ws}*", r"\1"), (rf"([：:]){ws}*[，,]{ws}*", r"\1"),
+        (f"https?://{far}", ""), (rf"www\.{far}", ""), (rf"(^|[^{letter}])[a-zA-Z0-9\-]+\.(?:com|cn|net|org|edu|gov|info|io|co)(?:\.[a-zA-Z]{{2}})?($|[^{letter}])", r"\1\2"),
+    ]
+    for name in TITLES:
+        rules += [(rf"({name}[:：]{ws}*)方面({stops})", r"\1\2"), (rf"({name}[:：]{ws}*)方面{ws}+", r"\1")]
+    for pattern, to in rules:
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return t
+
+
+_SHAPE = f"(?s)^({_ANY})[:：]{_WS}*(.*)\\z"
+_CLEANED = f"""{_ANSWERS},
+  ruled AS (SELECT sample_id, {_cleaned()} AS t FROM answers),
+  each_line AS (SELECT sample_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS a FROM ruled),
+  shaped AS (SELECT sample_id, array_to_string(list_transform(a, lambda x: CASE WHEN regexp_matches(x, '^(?:{_ANY})[:：]') THEN regexp_extract(x, '{_SHAPE}', 1) || '：' ||
+      CASE WHEN regexp_matches({_strip(f"regexp_extract(x, '{_SHAPE}', 2)")}, '^方面(?:[，,。；;、]|{_WS})') THEN regexp_replace({_strip(f"regexp_extract(x, '{_SHAPE}', 2)")}, '^方面{_WS}*', '') ELSE {_strip(f"regexp_extract(x, '{_SHAPE}', 2)")} END
+      ELSE x END), chr(10)) AS lines FROM each_line),
+  cut AS (SELECT sample_id, lines, regexp_extract_all({_norm('lines')}, '({_ANY})[:：]', 1) AS names, list_transform(regexp_split_to_array({_norm('lines')}, '(?:{_ANY})[:：]')[2:], lambda x: {_norm('x')}) AS bodies FROM shaped),
+  told AS (SELECT sample_id, CASE WHEN len(names) >= 5
+      THEN array_to_string(list_transform({_TITLE_LIST}, lambda k: k || '：' || regexp_replace(coalesce(bodies[len(names) + 1 - nullif(list_position(list_reverse(names), k), 0)], ''), '{_WS}*\n+{_WS}*', ' ', 'g')), chr(10))
+      ELSE regexp_replace(lines, '{_WS}*\n+{_WS}*', ' ', 'g') END AS x FROM cut)"""
+
+_MERGED = _norm("array_to_string(list_transform(" + _TITLE_LIST + ", lambda t: t || '：' || " + _norm("element_at(sections, t)[1]") + "), chr(10))")
+_PROMPT = f"'{STYLE_EVIDENCE}' || chr(10) || chr(10) || '{EVIDENCE_INTRO.strip()}' || chr(10) || chr(10)"
+
 SQL: dict[str, str] = {
+    "paragraph_chunks": f"""WITH RECURSIVE bodies AS (SELECT ord, {_norm('full_text')} AS body FROM reports_sections), {_packed('bodies', 'ord')}
+        SELECT k AS ord, (row_number() OVER (PARTITION BY k ORDER BY nth) - 1)::INTEGER AS chunk_idx, length(c)::INTEGER AS n_chars, md5(c) AS digest FROM firsts""",
+    "chat_samples": f"""WITH RECURSIVE {_ALIGNED}, last AS (SELECT doc_id AS id, arg_max(title, ord) AS title FROM (SELECT ord, {_norm('doc_id')} AS doc_id, {_norm('title')} AS title FROM reports_sections) GROUP BY doc_id),
+        bodies AS (SELECT doc_id, source AS body FROM idx WHERE source <> '' AND doc_id IN (SELECT doc_id FROM aligned)), {_packed('bodies', 'doc_id')},
+        whole AS (SELECT k, count(*) AS n, {_strip("string_agg(c, chr(10) || chr(10) ORDER BY nth)")} AS merged FROM firsts GROUP BY k)
+        SELECT idx.doc_id, safe_doc_id, sd.seed_stem, seed_path, last.title, n::INTEGER AS n_chunks, length(merged)::INTEGER AS source_chars, length(target)::INTEGER AS target_chars, md5('{SYSTEM_FULL}') AS system,
+          md5('{STYLE_FULL}' || chr(10) || chr(10) || '{SOURCE_HEAD.strip()}' || chr(10) || merged || chr(10) || chr(10) || '{ASK}') AS "user", md5(target) AS assistant
+        FROM sd JOIN aligned a ON a.seed_stem = sd.seed_stem JOIN idx ON idx.doc_id = a.doc_id JOIN whole ON k = idx.doc_id JOIN last ON id = idx.doc_id""",
+    "cleaned_answers": f"WITH {_CLEANED} SELECT sample_id, md5({_norm('x')}) AS digest FROM told",
+    "chat_texts": """SELECT sample_id, md5(array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || coalesce(m.content, '') || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10)) AS digest
+        FROM sft_train WHERE messages IS NOT NULL""",
+    "token_round_trip": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
+    "supervision": f"""WITH n AS (SELECT least(len({_tokens("messages[-1].content")}), {LIMITS.sequence}) AS n FROM sft_train WHERE len(messages) > 1)
+        SELECT count(*) FILTER (WHERE n < {LIMITS.least_supervised}) AS dropped, count(*) FILTER (WHERE n >= {LIMITS.least_supervised}) AS kept, min(n)::INTEGER AS least, round(avg(n), 6) AS mean, max(n)::INTEGER AS most FROM n""",
+    "evidence_prompts": f"""WITH {_SECTIONS}, b AS (SELECT DISTINCT ord, '【' || section || '证据】' || chr(10) || {_norm('text')} AS block FROM secs),
+        v AS (SELECT ord, block, unnest(range({LIMITS.variants})) AS variant FROM b),
+        k AS (SELECT * FROM v WHERE {_draw('ord::VARCHAR', 'variant::VARCHAR', 'md5(block)', "'drop'")} > {LIMITS.jitter_drop}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY ord, variant ORDER BY {_draw('ord::VARCHAR', 'variant::VARCHAR', 'md5(block)', "'order'")}, block) AS place FROM k),
+        c AS (SELECT ord, variant, place, CASE WHEN length(block) > {LIMITS.block_chars + LIMITS.block_slack} THEN left(block, {LIMITS.block_chars}) || '…' ELSE block END AS block FROM r WHERE place <= {LIMITS.jitter_most}),
+        u AS (SELECT *, sum(len({_tokens('block')})) OVER (PARTITION BY ord, variant ORDER BY place) AS used FROM c),
+        e AS (SELECT ord, variant, string_agg(block, chr(10) || chr(10) ORDER BY place) AS evidence FROM u WHERE used <= {LIMITS.budget_tokens} GROUP BY ord, variant),
+        t AS (SELECT ord, {_MERGED} AS target FROM reports_sections)
+        SELECT ord, variant, md5({_PROMPT} || evidence || CASE WHEN {_draw('ord::VARCHAR', 'variant::VARCHAR', "'tip'")} < {LIMITS.tip_share} THEN chr(10) || chr(10) || '{QUALITY_TIP.strip()}' ELSE '' END || chr(10) || chr(10) || '{ASK}') AS digest,
+          least(len({_tokens('target')}), {LIMITS.sequence})::BIGINT AS n_supervised FROM e JOIN t USING (ord) WHERE len({_tokens('target')}) >= {LIMITS.least_supervised}""",
+    "qa_texts": f"""WITH s AS (SELECT ord, {", ".join(f"{_norm(f"element_at(sections, '{t}')[1]")} AS s{i}" for i, t in enumerate(TITLES, 1))} FROM reports_sections),
+        r AS (SELECT *, {", ".join(f"{_section_reasons(f's{i}')} AS r{i}" for i in range(1, 6))}, {_norm(" || chr(10) || ".join(f"'{t}：' || s{i}" for i, t in enumerate(TITLES, 1)))} AS t FROM s),
+        pieces AS (SELECT *, regexp_extract_all(t, '({_ANY}){_WS}*[:：]?', 1) AS names, list_transform(regexp_split_to_array(t, '(?:{_ANY}){_WS}*[:：]?')[2:], lambda x: {_norm('x')}) AS bodies FROM r),
+        found AS (SELECT *, CASE WHEN len(names) >= 5 THEN list_transform({_TITLE_LIST}, lambda k: coalesce(bodies[len(names) + 1 - nullif(list_position(list_reverse(names), k), 0)], '')) END AS raw FROM pieces),
+        five AS (SELECT *, CASE WHEN len(list_filter(raw, lambda x: x = '')) = 0 THEN raw END AS parts FROM found),
+        q AS (SELECT *, {_QC} AS reasons FROM five)
+        SELECT ord, md5(t || chr(10) || chr(10) || CASE WHEN reasons = '' THEN '[QC_OK]' ELSE '[QC_FAIL] ' || replace(reasons, '|', '；') END || chr(10) ||
+          {" || chr(10) || ".join(f"CASE WHEN r{i} = '' THEN '{t}=>OK' ELSE '{t}=>FAIL：' || replace(r{i}, '|', '；') END" for i, t in enumerate(TITLES, 1))}) AS digest FROM q""",
+    "section_windows": f"WITH {_FILLED} SELECT ord, section, count(*) AS n_paragraphs, sum(length(text))::BIGINT AS n_chars FROM filled WHERE NOT is_heading GROUP BY ord, section",
     "text_normalize": f"SELECT ord, {_norm('title')} AS title, length({_norm('full_text')}) AS n_chars, md5({_norm('full_text')}) AS digest FROM reports_sections",
     "safe_names": f"SELECT ord, left({_safe('title')}, {LIMITS.safe_name_chars}) AS name, {_safe('doc_id')} AS doc_name FROM reports_sections",
     "loose_keys": f"SELECT ord, {_loose('title')} AS title_key, {_loose('doc_id')} AS doc_key FROM reports_sections",
@@ -370,8 +513,8 @@ SQL: dict[str, str] = {
         {", ".join(f"md5(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE section = '{t}' AND NOT is_heading), '')) AS section_{i}" for i, t in enumerate(TITLES, 1))},
         length(string_agg(text, chr(10) ORDER BY pos)) AS n_chars FROM filled GROUP BY ord""",
     "section_lengths": f"""WITH each AS (SELECT ord, sections, unnest({_TITLE_LIST}) AS section FROM reports_sections) SELECT ord, section, length(coalesce(element_at(sections, section)[1], '')) AS n_chars FROM each""",
-    "token_chunks": f"""WITH t AS (SELECT doc_id, {_tokens('text')} AS a FROM documents), n AS (SELECT doc_id, a, greatest(0, ceil((len(a) - 200) / 160.0))::BIGINT AS last FROM t WHERE len(a) > 0),
-        c AS (SELECT doc_id, a, unnest(range(last + 1)) AS i FROM n) SELECT doc_id, i AS chunk_idx, len(a[i * 160 + 1 : i * 160 + 200]) AS n_tokens, md5(array_to_string(a[i * 160 + 1 : i * 160 + 200], ' ')) AS digest FROM c""",
+    "token_chunks": f"""WITH t AS (SELECT ord, {_tokens('full_text')} AS a FROM reports_sections), n AS (SELECT ord, a, greatest(0, ceil((len(a) - {_SIZE}) / {_STEP}.0))::BIGINT AS last FROM t WHERE len(a) > 0),
+        c AS (SELECT ord, a, unnest(range(last + 1)) AS i FROM n) SELECT ord, i AS chunk_idx, len(a[i * {_STEP} + 1 : i * {_STEP} + {_SIZE}]) AS n_tokens, md5(array_to_string(a[i * {_STEP} + 1 : i * {_STEP} + {_SIZE}], ' ')) AS digest FROM c""",
     "prefix_dedup": f"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY left(text, {LIMITS.dedup_prefix})",
     "md5_dedup": "SELECT min(doc_id) AS doc_id, source FROM documents WHERE text IS NOT NULL GROUP BY source, text",
     "document_index": f"WITH {_SOURCE} SELECT doc_id, safe_doc_id, doc_ord, md5(source) AS digest FROM idx",
@@ -383,8 +526,8 @@ SQL: dict[str, str] = {
     "encoded_samples": f"""WITH m AS (SELECT sample_id, array_to_string(list_transform(list_filter(messages, lambda x: x.role IN ('system', 'user')), lambda x: coalesce(x.content, '')), chr(10)) AS p,
           array_to_string(list_transform(list_filter(messages, lambda x: x.role = 'assistant'), lambda x: coalesce(x.content, '')), chr(10)) AS a FROM sft_train WHERE messages IS NOT NULL),
         t AS (SELECT sample_id, list_transform({_tokens('p')}, lambda x: length(x)) AS p, list_transform({_tokens('a')}, lambda x: length(x)) AS a FROM m),
-        k AS (SELECT sample_id, list_concat(p, a) AS ids, len(a) AS na, greatest(len(p) + len(a) - 512, 0) AS cut FROM t)
-        SELECT sample_id, 512::BIGINT AS n_ids, coalesce(list_sum(ids[cut + 1 :]), 0)::BIGINT AS sum_ids, least(len(ids), 512)::BIGINT AS n_seen, least(na, 512)::BIGINT AS n_supervised FROM k""",
+        k AS (SELECT sample_id, list_concat(p, a) AS ids, len(a) AS na, greatest(len(p) + len(a) - {LIMITS.sequence}, 0) AS cut FROM t)
+        SELECT sample_id, {LIMITS.sequence}::BIGINT AS n_ids, coalesce(list_sum(ids[cut + 1 :]), 0)::BIGINT AS sum_ids, least(len(ids), {LIMITS.sequence})::BIGINT AS n_seen, least(na, {LIMITS.sequence})::BIGINT AS n_supervised FROM k""",
     "train_valid_split": f"""WITH r AS (SELECT sample_id, row_number() OVER (ORDER BY md5(concat_ws('|', sample_id::VARCHAR, '{LIMITS.seed}')), sample_id) AS n, count(*) OVER () AS total FROM sft_train)
         SELECT sample_id, CASE WHEN n <= greatest(1, floor(total * {LIMITS.valid_ratio})) THEN 'valid' ELSE 'train' END AS split FROM r""",
     "cosine_topn": f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0),
@@ -405,7 +548,7 @@ SQL: dict[str, str] = {
         SELECT ord, min(section_ord)::BIGINT AS section_ord, md5(block) AS digest FROM b GROUP BY ord, block""",
     "budget_clip": f"""WITH {_SECTIONS}, c AS (SELECT ord, section_ord, CASE WHEN length(text) > {LIMITS.block_chars + LIMITS.block_slack} THEN left(text, {LIMITS.block_chars}) || '…' ELSE text END AS block FROM secs),
         n AS (SELECT ord, section_ord, len({_tokens('block')}) AS n_tokens FROM c), u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY ord ORDER BY section_ord) AS used FROM n)
-        SELECT ord, section_ord::BIGINT AS section_ord, n_tokens::BIGINT AS n_tokens, used::BIGINT AS used FROM u WHERE used <= 1200""",
+        SELECT ord, section_ord::BIGINT AS section_ord, n_tokens::BIGINT AS n_tokens, used::BIGINT AS used FROM u WHERE used <= {LIMITS.budget_tokens}""",
     "evidence_variants": f"""WITH {_SECTIONS}, b AS (SELECT ord, '【' || section || '证据】' || chr(10) || {_norm('text')} AS block FROM secs),
         v AS (SELECT ord, block, unnest(range({LIMITS.variants})) AS variant FROM b),
         k AS (SELECT * FROM v WHERE {_draw('ord::VARCHAR', 'variant::VARCHAR', 'md5(block)', "'drop'")} > {LIMITS.jitter_drop}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +27,19 @@ def local_session(cpus: int = 8, app: str = "paperloom", memory: str = "12g") ->
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, a single machine) a temporary folder is made.
+    The setting is read from the session. Where it is unset, a session on a single machine gets a temporary folder that goes with the
+    process; a cluster is refused, since its executors share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="paperloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 

@@ -73,6 +73,6 @@ def docx_paragraphs(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> Data
     """(<keep>, pos, text, style, mode, error): paragraphs that are not blank, normalised, and a row per file that can't be read."""
     spark = files.sparkSession
     spark.udtf.register("docx_paragraphs", DocxParagraphs)
-    files.select(*keep, "content").createOrReplaceTempView("docx_files")
-    rows = spark.sql(f"SELECT {', '.join('f.' + k for k in keep)}, p.* FROM docx_files f, LATERAL docx_paragraphs(f.content) p")
+    fields = ", ".join("f." + k for k in keep)
+    rows = spark.sql(f"SELECT {fields}, p.* FROM {{files}} f, LATERAL docx_paragraphs(f.content) p", files=files.select(*keep, "content"))
     return rows.withColumn("text", normalize_text("text")).where("text <> '' OR error IS NOT NULL")

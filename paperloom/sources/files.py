@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,30 @@ def stem(path: Column | str) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at a path or pattern, on whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
+def require_path(spark: SparkSession, path: str) -> str:
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The table, or an error where it is empty: for inputs without which a run makes no sense."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def scan_docx(spark: SparkSession, folder: str) -> DataFrame:
+    """The word-processor files of one folder, without those below it, in order of path."""
+    return scan(spark, folder, (".docx",), recursive=False).orderBy("path")
+
+
 def scan(spark: SparkSession, folder: str, kinds: tuple[str, ...] = DOCUMENT_KINDS, recursive: bool = True) -> DataFrame:
     """Files by extension, with ``content``; it is only read where it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
@@ -42,9 +67,7 @@ def collisions(df: DataFrame, source: str = "path", target: str = "dst") -> Data
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, must_exist: bool = False) -> DataFrame:
     """JSON lines under a given schema; a broken line fails. A missing file is an empty table, or an error where it must exist."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm)
-    if not must_exist and not there:
+    if not must_exist and not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -52,9 +75,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, must_exist: bool = F
 def read_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """(seed_stem, seed_path, target) of all text files, bytes that are no UTF-8 left out, blank ones too."""
 
-    @F.udf("string")
-    def decoded(content: bytes) -> str:
-        return content.decode("utf-8", "ignore")
+    @F.pandas_udf("string")
+    def decoded(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     rows = files.select(normalize_text(stem("path")).alias("seed_stem"), F.col("path").alias("seed_path"), normalize_text(decoded("content")).alias("target"))
@@ -63,8 +86,7 @@ def read_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of one JSON object; nothing where the file is missing."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+    if not exists(spark, path):
         return spark.createDataFrame([], "key string, value string")
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>")))

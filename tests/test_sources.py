@@ -5,8 +5,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.operators import generate, retrieve
 from paperloom.sources import docx, files, sinks
-from paperloom.streaming.incremental import on_new_files
+from paperloom.streaming.incremental import counts_by_window, on_new_files
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -78,3 +79,66 @@ def test_new_files_once(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"a": k}))
         on_new_files(spark, str(tmp_path / "in"), "a int", work, str(tmp_path / "check")).awaitTermination()
     assert seen == [0, 1]
+
+
+def test_numbered_names_meet_no_other(spark, tmp_path):
+    names = ["a", "a", "a_2", "a", "a_10", "a_10", "b/c", "b:c", "b_c_2", None, ""]
+    df = spark.createDataFrame([(n, f"text {i}") for i, n in enumerate(names)], "doc_id string, text string")
+    sinks.write_text_files(df, str(tmp_path / "t"))
+    files_ = list((tmp_path / "t").glob("*.txt"))
+    assert sorted(f.read_text() for f in files_) == sorted(f"text {i}" for i in range(len(names)))
+    assert not list((tmp_path / "t").glob("*.part"))
+
+
+def test_run_and_failures(spark, tmp_path):
+    report = spark.createDataFrame([("x/1", "甲", True, [], {}), ("y", None, False, ["r"], {"s": ["t"]})], "doc_id string, text string, qc_ok boolean, qc_reasons array<string>, section_fail map<string,array<string>>")
+    paths = generate.with_paths(report, spark.createDataFrame([("x/1", "/in/x.docx")], "doc_id string, src_docx string"), str(tmp_path / "out"))
+    sinks.write_run(paths, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "x_1.txt").read_text("utf-8") == "甲"
+    rows = {r["doc_id"]: r for r in files.read_jsonl(spark, str(tmp_path / "out" / "run_report"), files.RUN_REPORT).collect()}
+    assert rows["x/1"]["src_docx"] == "/in/x.docx"
+    assert rows["x/1"]["out_path"].endswith("/out/x_1.txt")
+    assert (rows["y"]["out_path"], rows["y"]["qc_reasons"]) == ("", ["r"])
+    results = spark.createDataFrame([(True, "a", "word_ok"), (False, "b", "fail: x")], "ok boolean, src_path string, tag string")
+    for name, wanted in (("f", results), ("none", results.limit(0))):
+        sinks.write_failures(wanted, str(tmp_path / name))
+    assert next((tmp_path / "f").glob("*.csv")).read_text("utf-8-sig").splitlines() == ["src_path,error", "b,fail: x"]
+    assert next((tmp_path / "none").glob("*.csv")).read_text("utf-8-sig").splitlines() == ["src_path,error"]
+
+
+def test_cache_and_preconditions(spark, tmp_path):
+    assert retrieve.read_cache(spark, str(tmp_path / "c")) is None
+    rows = spark.createDataFrame([("k", 0, [1.0])], "key string, chunk_idx int, emb array<float>")
+    retrieve.append_cache(rows, str(tmp_path / "c"))
+    retrieve.append_cache(rows, str(tmp_path / "c"))
+    assert retrieve.read_cache(spark, str(tmp_path / "c")).count() == 2
+    with pytest.raises(FileNotFoundError):
+        files.require_path(spark, str(tmp_path / "nothing"))
+    with pytest.raises(ValueError, match="seeds"):
+        files.require_rows(rows.limit(0), "seeds")
+    for name in ("b.docx", "a.docx"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.docx").write_bytes(b"x")
+    assert [r["path"][-6:] for r in files.scan_docx(spark, str(tmp_path)).collect()] == ["a.docx", "b.docx"]
+
+
+def test_counts_by_window(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"t": f"2024-01-01T0{h}:10:00", "k": "a"}) for h in (1, 1, 2)))
+    stream = spark.readStream.schema("t timestamp, k string").json(str(tmp_path / "in"))
+    seen = []
+    query = counts_by_window(stream, "t", ["k"]).writeStream.outputMode("complete").foreachBatch(lambda df, _: seen.extend(r["n"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(seen) == [1, 2]
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from paperloom import session
+
+    context = N(master="yarn", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))))
+    df = N(sparkSession=N(sparkContext=context, conf=N(get=lambda *_: None)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint(df)
