@@ -39,20 +39,20 @@ BUCKETS = 4096
 
 
 def language(lang: Column) -> Column:
-    """One spelling per language: the primary subtag in lower case."""
+    """One spelling per language: the primary subtag, of two or three letters, in lower case; ``und`` for whatever else is written."""
     plain = F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), r"^\s*([A-Za-z]+)", 1))
-    return F.when(plain.isin("chinese", "zho", "chi", "cmn"), "zh").when(plain.isin("english", "eng"), "en").when(plain == "", "und").otherwise(plain)
+    return F.when(plain.isin("chinese", "zho", "chi", "cmn"), "zh").when(plain.isin("english", "eng"), "en").when(F.length(plain).between(2, 3), plain).otherwise("und")
 
 
 def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, lang, source, tokens)."""
+    """(doc_id, lang, source, tokens). The vocabulary's file is read here and broadcast (1 MB), so executors need no copy of it."""
+    with open(tokenizer, "rb") as file:
+        ranks = documents.sparkSession.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
 
     def start():
         import tiktoken
 
-        with open(tokenizer, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        encode = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         return lambda doc_id, lang, source, text: ((doc_id, lang, source, len(encode(text))),)
 
     rows = documents.select(F.col("doc_id").cast("bigint"), language(F.col("lang")), "source", "text").where("source is not null and length(text) > 0")
@@ -96,6 +96,12 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], total: float) ->
     return given
 
 
+def corpus_tokens(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> int:
+    """The tokens of all documents whose source has a target."""
+    wanted = targets.where("source is not null and target_share > 0").select("source").distinct()
+    return with_tokens(documents.join(F.broadcast(wanted), "source", "left_semi"), tokenizer).agg(F.sum("tokens")).first()[0] or 0
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER, domains: dict[str, str] = DOMAINS) -> DataFrame:
     """(doc_id, source, lang, tokens, copies): the documents of the mix and how often each is used."""
     spark = documents.sparkSession

@@ -211,7 +211,8 @@ def person_at(text: str, start: int, surname: int, last: tuple[int, int] | None,
             continue
         sure = SURE_BEHIND.match(text, end)
         near_number = start in numbered or start - 1 in numbered and text[start - 1] in " ，、\n（("
-        if sure or (told or near_number) and BEHIND_RE.match(text, end):
+        signed = given == 2 and told and head[-1:] in ("：", ":")
+        if sure or signed or (told or near_number) and BEHIND_RE.match(text, end):
             return start, end
     return None
 

@@ -18,6 +18,13 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "reports_sections"), "ord", "full_text", table(spark, d, "split_limits"))
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each cut text put together again from its pieces, with how many pieces are too long, share too little or are out of order."""
+    limits = table(spark, d, "split_limits")
+    pieces = splitting.split_oversized(table(spark, d, "reports_sections"), "ord", "full_text", limits)
+    return splitting.rebuilt(pieces, "ord", limits)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.sample_groups(table(spark, d, "sft_train"), table(spark, d, "reports_sections")).select("sample_id", "group_key")
 
@@ -83,6 +90,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def p8_whole_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mix as large as the corpus: sources too small for that are repeated as often as allowed, and what they still lack goes to others."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mix(documents, targets, mixing.corpus_tokens(documents, targets)), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find_personal(table(spark, d, "documents")).select("doc_id", "kind", "seq")
 
@@ -93,7 +106,7 @@ def p9_masked(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_split, p3_found, p3_classes, p3_report, p4_found, p4_report, p5_found, p5_classes, p5_one_form, p6_found, p7_found, p7_clean, p8_mix, p8_shares, p9_found, p9_masked)
+    for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_split, p3_found, p3_classes, p3_report, p4_found, p4_report, p5_found, p5_classes, p5_one_form, p6_found, p7_found, p7_clean, p8_mix, p8_shares, p8_whole_shares, p9_found, p9_masked)
 }
 
 def _quoted(text: str) -> str:
@@ -122,11 +135,25 @@ _HEAD_LINES = " || ".join(f"regexp_extract_all(msg, '{grouped_split.HEAD_LINE}',
 _FORMS = f"""v AS (SELECT 'title' AS field, ord, title AS value FROM reports_sections UNION ALL SELECT 'full_text', ord, full_text FROM reports_sections),
         f AS (SELECT field, ord, value, {_look_alike_form('value')} AS form FROM v WHERE regexp_matches(value, '[^\\s\\p{{Z}}\\p{{Cf}}]'))"""
 
+_REPEATED = f"""t AS (SELECT ord, array_to_string(list_transform(map_values(sections), lambda v: regexp_replace(coalesce(v, ''), '[^\\p{{L}}]+', '', 'g')), '|') AS x FROM reports_sections),
+        c AS (SELECT ord, length(replace(x, '|', '')) AS n, unnest(range(length(x))) AS i, unnest(string_split(x, '')) AS c FROM t WHERE length(x) > {repetition.WIDTH}),
+        w AS (SELECT ord, n, i, string_agg(c, '') OVER (PARTITION BY ord ORDER BY i ROWS BETWEEN CURRENT ROW AND {repetition.WIDTH - 1} FOLLOWING) AS g FROM c),
+        again AS (SELECT *, row_number() OVER (PARTITION BY ord, g ORDER BY i) AS k FROM w WHERE length(g) = {repetition.WIDTH} AND NOT contains(g, '|')),
+        s AS (SELECT ord, n, least({repetition.WIDTH}, i - coalesce(lag(i) OVER (PARTITION BY ord ORDER BY i), -{repetition.WIDTH})) AS more FROM again WHERE k > 1)"""
+
+
+def _part(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN round(({part}) / {whole}, 6) ELSE 0.0 END"
+
+
 #: Those that SQL expresses at a bearable speed; the tests hold the others against brute force.
 SQL = {
     "p1_found": """
         SELECT l.limit_name, r.ord FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
     """,
+    "p1_rebuilt": """
+        SELECT l.limit_name, r.ord, md5(r.full_text) AS digest, 0::BIGINT AS n_wrong FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
+    """,
     "p2_found": f"""
         WITH RECURSIVE filed AS (SELECT DISTINCT {_serial('doc_id')} AS serial, {_number('doc_id', 1)} AS unit FROM reports_sections WHERE {_number('doc_id', 1)} IS NOT NULL),
         m AS (SELECT sample_id, {_WRITTEN} AS written, coalesce(array_to_string(list_transform(list_filter(messages, lambda x: x.role = 'user'), lambda x: coalesce(x.content, '')), chr(10)), '') AS msg FROM sft_train),
@@ -142,12 +169,22 @@ SQL = {
         SELECT s.sample_id, CASE WHEN c LIKE '0:%' THEN substr(c, 3) END AS group_key FROM sft_train s LEFT JOIN keyed k ON s.sample_id = k.sample_id
     """,
     "p4_found": f"""
-        WITH t AS (SELECT ord, array_to_string(list_transform(map_values(sections), lambda v: regexp_replace(coalesce(v, ''), '[^\\p{{L}}]+', '', 'g')), '|') AS x FROM reports_sections),
-        c AS (SELECT ord, length(replace(x, '|', '')) AS n, unnest(range(length(x))) AS i, unnest(string_split(x, '')) AS c FROM t WHERE length(x) > {repetition.WIDTH}),
-        w AS (SELECT ord, n, i, string_agg(c, '') OVER (PARTITION BY ord ORDER BY i ROWS BETWEEN CURRENT ROW AND {repetition.WIDTH - 1} FOLLOWING) AS g FROM c),
-        r AS (SELECT *, row_number() OVER (PARTITION BY ord, g ORDER BY i) AS k FROM w WHERE length(g) = {repetition.WIDTH} AND NOT contains(g, '|')),
-        s AS (SELECT ord, n, least({repetition.WIDTH}, i - coalesce(lag(i) OVER (PARTITION BY ord ORDER BY i), -{repetition.WIDTH})) AS more FROM r WHERE k > 1)
-        SELECT ord FROM s GROUP BY ord, n HAVING round(sum(more) / n, 6) >= 0.3
+        WITH {_REPEATED} SELECT ord FROM s GROUP BY ord, n HAVING round(sum(more) / n, 6) >= 0.3
+    """,
+    "p4_report": f"""
+        WITH {_REPEATED}, rep AS (SELECT ord, sum(more) AS covered FROM s GROUP BY ord),
+        v AS (SELECT ord, doc_id, coalesce(array_to_string(list_transform(map_values(sections), lambda v: coalesce(v, '')), chr(10)), '') AS text FROM reports_sections),
+        l AS (SELECT *, regexp_replace(text, '[^\\p{{L}}]+', '', 'g') AS letters, length(regexp_replace(text, '[ \\t\\n\\x{{b}}\\f\\r]+', '', 'g')) AS n_chars,
+          list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM v),
+        m AS (SELECT *, length(letters) AS n_letters, len(lines) AS n_lines, length(array_to_string(lines, '')) AS line_chars, length(array_to_string(list_distinct(lines), '')) AS distinct_chars,
+          len(regexp_extract_all(letters, '[{repetition.STOP_CHARS}]')) + CASE WHEN contains(text, ' the ') THEN len(regexp_extract_all(lower(text), '\\b(?:{"|".join(repetition.STOP_WORDS)})\\b')) ELSE 0 END AS stops FROM l),
+        r AS (SELECT m.ord, doc_id, n_letters, {_part('n_chars - n_letters', 'n_chars')} AS symbol_share, {_part('stops', 'n_letters')} AS stop_word_share,
+          {_part("len(list_filter(lines, lambda x: regexp_matches(x, '(?:…|[.][.][.])$')))", 'n_lines')} AS ellipsis_line_share, {_part("len(list_filter(lines, lambda x: regexp_matches(x, '^[-*•·●]')))", 'n_lines')} AS bullet_line_share,
+          {_part('line_chars - coalesce(distinct_chars, 0)', 'line_chars')} AS duplicate_line_share, {_part('coalesce(covered, 0)', 'n_letters')} AS repeated_share FROM m LEFT JOIN rep ON rep.ord = m.ord),
+        q AS (SELECT coalesce({_serial('doc_id')}, doc_id) AS serial, count(*) FILTER (WHERE qc_ok) AS n_ok, count(*) FILTER (WHERE NOT qc_ok) AS n_failed FROM run_report WHERE doc_id IS NOT NULL GROUP BY ALL)
+        SELECT r.*, n_letters < 20 AS too_short, symbol_share > 0.4 AS too_many_symbols, stop_word_share < 0.005 AS no_stop_words, ellipsis_line_share > 0.3 AS too_many_ellipsis_lines,
+          bullet_line_share > 0.9 AS too_many_bullet_lines, duplicate_line_share > 0.3 AS duplicate_lines, repeated_share >= 0.3 AS repeated_content, n_ok, n_failed
+        FROM r LEFT JOIN q ON q.serial = coalesce({_serial('doc_id')}, doc_id)
     """,
     "p5_found": f"""
         WITH {_FORMS}

@@ -5,7 +5,8 @@ characters. A level is only entered for a stretch that is still too long after t
 greedily: a piece takes the last ``overlap`` characters of its predecessor and then as many whole atoms as the limit allows.
 
 Defined results: null, blank and short texts give no rows (``keep_small`` returns them as one piece). Lengths count code points.
-Without its first ``overlap`` characters from the second piece on, the concatenation of the pieces is the text, byte for byte.
+Without its first ``overlap`` characters from the second piece on, the concatenation of the pieces is the text, byte for byte. Pieces end
+at boundaries; they begin exactly ``overlap`` characters before their predecessor's end, wherever that is.
 Repeated rows are cut each on its own. Other columns are not touched, whatever their names.
 """
 
@@ -89,3 +90,15 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, limits: DataFrame
 
     kind = source.schema["id"].dataType.simpleString()
     return map_rows(source, f"limit_name string, id {kind}, piece int, n_pieces int, start int, end int, text string", start).withColumnRenamed("id", id_col)
+
+
+def rebuilt(pieces: DataFrame, id_col: str, limits: DataFrame) -> DataFrame:
+    """(limit_name, <id>, digest, n_wrong): the text's digest put together from its pieces, and how many of these are longer than the
+    limit, don't begin with the last ``overlap`` characters of their predecessor, or leave a gap. A check of :func:`split_oversized`."""
+    rules = limits.select("limit_name", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text")))
+    one = pieces.join(F.broadcast(rules), "limit_name").groupBy("limit_name", id_col).agg(ordered.alias("p"), F.first("max_chars").alias("most"), F.first("overlap").alias("overlap"))
+    shared = lambda x, i: F.substring(x["text"], F.lit(1), F.col("overlap")) == F.right(F.get("p", i - 1)["text"], F.col("overlap"))
+    fine = lambda x, i: (F.length(x["text"]) <= F.col("most")) & (x["piece"] == i + 1) & (F.length(x["text"]) == x["end"] - x["start"]) & ((i == 0) | (shared(x, i) & (x["start"] == F.get("p", i - 1)["end"] - F.col("overlap"))))
+    text = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.col("overlap") + 1, F.length(x["text"])))), "")
+    return one.select("limit_name", id_col, F.md5(text).alias("digest"), F.size(F.filter("p", lambda x, i: ~fine(x, i))).cast("bigint").alias("n_wrong"))
