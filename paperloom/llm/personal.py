@@ -293,9 +293,10 @@ def occurrences(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int,
             found.append((*place, "address"))
     if names:
         ends = {e for _, e, k in found}
+        double = {start for start, size in names if size == 2}
         last = None
         for start, size in names:
-            if last is not None and start < last[1]:
+            if last is not None and start < last[1] or size == 1 and start in double:
                 continue
             if person := person_at(plain, start, size, last, ends):
                 last = person

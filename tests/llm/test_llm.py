@@ -514,7 +514,7 @@ FOUND = {
     "寄到石磨村4组22号": ["address"],
     "会议室在三号楼二层": [],
     "联系人：欧阳文静；老师来了": ["person"],
-    "听课人签名：沈骥鸢联系方式见后": ["person"],
+    "听课人签名：沈骥鸢联系方式见后，听课人签名：濮阳茗珩从八名教师": ["person", "person"],
     "沈老师与陆主任出席": [],
     "本案例由王小明、李思思共同记录。": ["person", "person"],
     "Ask Tormund Quorley (t@q.org) at 12 Old Orchard Road, Apt 4B.": ["person", "email", "address"],
@@ -548,6 +548,11 @@ def test_masking_leaves_the_rest(spark):
     assert personal.find_personal(long).first()["start"] == 300002
 
 
+def test_double_surnames_come_first():
+    text = "签名：濮阳茗珩对照量表"
+    assert [text[a:b] for a, b, _ in personal.occurrences(text, personal.anchors())] == ["濮阳茗珩"]
+
+
 def test_common_surnames_are_known():
     known = personal.anchors()
     for surname in "肖洪韦莫关翟覃倪庄齐邢阮庞":
