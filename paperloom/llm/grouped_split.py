@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evidence import uniform
 from ..session import checkpoint
 from .hot import join_hot
 
@@ -153,7 +154,7 @@ def grouped_split(samples: DataFrame, reports: DataFrame, shares: DataFrame, see
     for name, _ in wanted:
         at += left[name] / whole
         ranges.append((name, at))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "unit_of_split"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = uniform("unit_of_split", seed=seed)
     split = F.lit(ranges[-1][0])
     for name, end in reversed(ranges[:-1]):
         split = F.when(draw < end, F.lit(name)).otherwise(split)

@@ -146,16 +146,7 @@ def _part(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN round(({part}) / {whole}, 6) ELSE 0.0 END"
 
 
-#: Those that SQL expresses at a bearable speed; the tests hold the others against brute force.
-SQL = {
-    "p1_found": """
-        SELECT l.limit_name, r.ord FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
-    """,
-    "p1_rebuilt": """
-        SELECT l.limit_name, r.ord, md5(r.full_text) AS digest, 0::BIGINT AS n_wrong FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
-    """,
-    "p2_found": f"""
-        WITH RECURSIVE filed AS (SELECT DISTINCT {_serial('doc_id')} AS serial, {_number('doc_id', 1)} AS unit FROM reports_sections WHERE {_number('doc_id', 1)} IS NOT NULL),
+_GROUPED = f"""filed AS (SELECT DISTINCT {_serial('doc_id')} AS serial, {_number('doc_id', 1)} AS unit FROM reports_sections WHERE {_number('doc_id', 1)} IS NOT NULL),
         m AS (SELECT sample_id, {_WRITTEN} AS written, coalesce(array_to_string(list_transform(list_filter(messages, lambda x: x.role = 'user'), lambda x: coalesce(x.content, '')), chr(10)), '') AS msg FROM sft_train),
         names AS (SELECT sample_id, unnest(regexp_split_to_array(regexp_replace(line, '([一-鿿]{{2}})[和与及]([一-鿿]{{2}})', '\\1、\\2', 'g'), '\\s*(?:[、，,；;/／&＆|]|\\band\\b)\\s*')) AS name
           FROM (SELECT sample_id, unnest({_HEAD_LINES}) AS line FROM m)),
@@ -165,9 +156,35 @@ SQL = {
           UNION SELECT sample_id, '0:' || {_number('written', 1)} FROM m WHERE {_number('written', 1)} IS NOT NULL AND {_serial('written')} NOT IN (SELECT serial FROM filed)),
         reach AS (SELECT DISTINCT e AS node, e AS other FROM ent UNION SELECT r.node, b.e FROM reach r JOIN ent a ON a.e = r.other JOIN ent b ON a.sample_id = b.sample_id),
         comp AS (SELECT node, min(other) AS c FROM reach GROUP BY node),
-        keyed AS (SELECT sample_id, min(c) AS c FROM ent JOIN comp ON node = e GROUP BY sample_id)
+        keyed AS (SELECT sample_id, min(c) AS c FROM ent JOIN comp ON node = e GROUP BY sample_id)"""
+
+#: Those that SQL expresses at a bearable speed; the tests hold the others against brute force.
+SQL = {
+    "p1_found": """
+        SELECT l.limit_name, r.ord FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
+    """,
+    "p1_rebuilt": """
+        SELECT l.limit_name, r.ord, md5(r.full_text) AS digest, 0::BIGINT AS n_wrong FROM reports_sections r JOIN split_limits l ON length(r.full_text) > l.max_chars
+    """,
+    "p2_found": f"""
+        WITH RECURSIVE {_GROUPED}
         SELECT s.sample_id, CASE WHEN c LIKE '0:%' THEN substr(c, 3) END AS group_key FROM sft_train s LEFT JOIN keyed k ON s.sample_id = k.sample_id
     """,
+    "p2_split": f"""
+        WITH RECURSIVE {_GROUPED},
+        rows_ AS (SELECT s.sample_id, c, coalesce(c, '2:' || s.sample_id) AS unit FROM sft_train s LEFT JOIN keyed k ON s.sample_id = k.sample_id),
+        shares AS (SELECT list({{'share': share, 'name': split_name}} ORDER BY share DESC, split_name) AS w, (SELECT count(*) FROM rows_) AS total FROM split_shares WHERE share > 0),
+        large AS (SELECT unit, n, row_number() OVER (ORDER BY n DESC, unit) AS i FROM (SELECT unit, count(*) AS n FROM rows_ GROUP BY unit) WHERE n > greatest(0.01 * (SELECT total FROM shares), 1)),
+        place AS (
+          SELECT 0::BIGINT AS i, list_transform(w, lambda x: {{'lack': x.share * total, 'name': x.name}}) AS lacks, NULL::VARCHAR AS unit, NULL::VARCHAR AS split FROM shares
+          UNION ALL
+          SELECT l.i, list_transform(lacks, lambda x: CASE WHEN x.name = list_max(lacks).name THEN {{'lack': x.lack - n, 'name': x.name}} ELSE x END), l.unit, list_max(lacks).name FROM place p JOIN large l ON l.i = p.i + 1),
+        rest AS (SELECT list_transform(arg_max(lacks, i), lambda x: {{'lack': greatest(x.lack, 0), 'name': x.name}}) AS r FROM place),
+        ends AS (SELECT r[k].name AS name, list_sum(list_transform(r[1:k], lambda x: x.lack)) / list_sum(list_transform(r, lambda x: x.lack)) AS e, k FROM rest, (SELECT unnest(range(1, 10)) AS k) WHERE k <= len(r)),
+        drawn AS (SELECT sample_id, c, unit, ('0x' || substr(md5(unit || '|42'), 1, 8))::BIGINT / 4294967296.0 AS d FROM rows_)
+        SELECT sample_id, CASE WHEN c LIKE '0:%' THEN substr(c, 3) END AS group_key, coalesce(split, (SELECT coalesce(arg_min(name, k) FILTER (WHERE d < e), arg_max(name, k)) FROM ends)) AS split_name
+        FROM drawn LEFT JOIN place ON drawn.unit = place.unit
+    """,
     "p4_found": f"""
         WITH {_REPEATED} SELECT ord FROM s GROUP BY ord, n HAVING round(sum(more) / n, 6) >= 0.3
     """,

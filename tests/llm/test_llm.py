@@ -22,7 +22,7 @@ def test_query(spark, data, name):
     rows = got.collect()
     if name in SQL:
         db = duckdb.connect()
-        for t in ("reports_sections", "run_report", "sft_train", "split_limits"):
+        for t in ("reports_sections", "run_report", "sft_train", "split_limits", "split_shares"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
         result = db.execute(SQL[name])
         columns = [c[0] for c in result.description]
