@@ -26,6 +26,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..session import checkpoint
 
 #: Rows of a field, an identifier and a key that may be broadcast, some 100 bytes each in memory.
@@ -91,9 +92,9 @@ def composed(text: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in COMPOSED.items() for x in pair))
     two = lambda a, c: F.coalesce(F.try_element_at(table, F.concat(a, c)), F.concat(a, c))
     whole = lambda piece: F.when(F.length(piece) > 1, F.aggregate(F.split(piece, ""), F.lit(""), two)).otherwise(piece)
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\p{{M}}]+(?=[^\p{{M}}]\p{{M}}|\z)|[^\p{{M}}]?{ACCENTS}"), F.lit(0))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(rf"[^\p{{M}}]+(?=[^\p{{M}}]\p{{M}}|\z)|[^\p{{M}}]?{ACCENTS}"), F.lit(0))
     plain = lambda piece: F.when(piece.rlike(r"\p{M}"), whole(piece)).otherwise(piece)
-    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(r"\p{M}"), F.array_join(F.transform(pieces(t), plain), "")).otherwise(t))
 
 
 def mapped(text: Column) -> Column:
