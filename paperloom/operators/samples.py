@@ -58,8 +58,10 @@ def evidence_samples(
 
     Some prompts carry a reminder of the rules. A variant without a block has no ``messages``. Everything stays in the document's row.
     """
-    rows = docs.select(id_col, "target", measured(F.array_distinct("blocks"), normal=True).alias("_rows")).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
-    chosen = rows.withColumn("_chosen", within_budget(jittered(F.col("_rows"), F.col(id_col), F.col("variant"), seed=seed), budget))
+    rows = docs.select(id_col, "target", measured(F.array_distinct("blocks"), normal=True).alias("_rows"))
+    one = lambda v: F.struct(v.alias("variant"), within_budget(jittered(F.col("_rows"), F.col(id_col), v, seed=seed), budget).alias("_chosen"))
+    # Exploded ready-made, so that no later filter is pushed below and makes the choice twice.
+    chosen = rows.select(id_col, "target", F.explode(F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), one)).alias("_v")).select(id_col, "target", "_v.*")
     joined = chosen.withColumn("evidence", F.when(F.size("_chosen") > 0, F.array_join("_chosen", "\n\n")))
     tip = F.when(uniform(F.col(id_col).cast("string"), F.col("variant").cast("string"), F.lit("tip"), seed=seed) < tip_share, F.lit(QUALITY_TIP)).otherwise(F.lit(""))
     user = F.concat(F.lit(f"{STYLE_EVIDENCE}\n\n{EVIDENCE_INTRO}"), F.col("evidence"), tip, F.lit(f"\n\n{ASK}"))
