@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import ASK, EVIDENCE_INTRO, LIMITS, QUALITY_TIP, SOURCE_HEAD, STYLE_EVIDENCE, STYLE_FULL, SYSTEM_EVIDENCE, SYSTEM_FULL
 from ..functions.binding import let
-from ..functions.text import normalize_text, strip, text
+from ..functions.text import has_text, normalize_text, strip, text
 from . import align
 from .chunk import paragraph_chunks
 from .evidence import jittered, measured, uniform, within_budget
@@ -28,15 +28,19 @@ def source_text(full_text: Column, title: Column, sections: Column) -> Column:
     return let(normalize_text(full_text), lambda body: F.when(body != "", body).otherwise(built))
 
 
+def has_source(full_text: Column, title: Column, sections: Column) -> Column:
+    """Whether :func:`source_text` has text, told without making it."""
+    return has_text(full_text) | has_text(title) | F.coalesce(F.exists(F.map_values(sections), has_text), F.lit(False))
+
+
 def chat_samples(reports: DataFrame, seeds: DataFrame, order: str = "ord", size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> DataFrame:
     """(messages, meta): one sample per seed whose document has text."""
-    docs = reports.withColumn("source", source_text(F.col("full_text"), F.col("title"), F.col("sections"))).select(order, "title", "source")
+    parts = (F.col("full_text"), F.col("title"), F.col("sections"))
+    docs = reports.where(has_source(*parts)).select(order, "title", source_text(*parts).alias("source"))
     targets = seeds.withColumn("target", normalize_text("target")).where("target <> ''")
     index = align.document_index(reports.select("doc_id", order), order)
-    sources = align.with_last(index.join(align.align(targets, index).select("doc_id").distinct(), "doc_id", "left_semi"), docs, order, ["title", "source"])
-    cut = sources.where("source <> ''").withColumn("chunks", paragraph_chunks("source", size, overlap))
-    rows = targets.join(align.align(targets, index), "seed_stem").join(cut, "doc_id")
-    rows = rows.withColumn("merged", strip(F.array_join("chunks", "\n\n")))
+    sources = align.with_last(align.matched(targets, index), docs, order, ["title", "source"])
+    rows = sources.withColumn("chunks", paragraph_chunks("source", size, overlap)).withColumn("merged", strip(F.array_join("chunks", "\n\n")))
     user = F.concat(F.lit(f"{STYLE_FULL}\n\n{SOURCE_HEAD}"), F.col("merged"), F.lit(f"\n\n{ASK}"))
     meta = F.struct(
         "doc_id",
