@@ -13,12 +13,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MOST_ROWS, MOST_BYTES = 4096, 1 << 23
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes (by the batch's mean)."""
+    step = max(1, min(MOST_ROWS, MOST_BYTES * max(1, batch.num_rows) // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, converted in slices of bounded size."""
     for batch in batches:
-        step = max(1, min(MOST_ROWS, MOST_BYTES * max(1, batch.num_rows) // max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+        for part in slices(batch):
             yield from zip(*(c.to_pylist() for c in part.columns))
 
 

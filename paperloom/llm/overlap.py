@@ -247,9 +247,10 @@ class _Block:
 def _near_answers(train: DataFrame, valid: DataFrame, most_edits: float) -> DataFrame:
     """(a, b): all pairs of classes whose answers are within the bound and whose lengths can be.
 
-    A task holds one block of the evaluation side at a time and takes the packs of one part of the training side through it.
+    A task holds one block of the evaluation side at a time and takes the packs of one part of the training side through it. Blocks are
+    of answers of like length, so training answers of another length pass by a block untouched.
     """
-    blocks = checkpoint(_packed(valid.repartition(1 + valid.count() // BLOCK), BLOCK))
+    blocks = checkpoint(_packed(valid.repartitionByRange(1 + valid.count() // BLOCK, F.length("reply"), "class"), BLOCK))
     blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in blocks.columns))
 
     def work(rows: Iterable[tuple]) -> Iterator[tuple]:

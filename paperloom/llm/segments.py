@@ -130,13 +130,22 @@ class SegmentIndex:
         return out
 
     def pairs(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The candidates as places in ``texts`` and in the block, worked out in parts of bounded size."""
+        """The candidates as places in ``texts`` and in the block, worked out in parts of bounded size.
+
+        Texts whose length is out of bounds for the whole block are passed over.
+        """
+        if not len(self.sizes):
+            return
+        least, most, share = int(self.sizes.min()), int(self.sizes.max()), self.most_edits
+        near = lambda n: least - n <= share * max(n, least) and n - most <= share * max(n, most)
+        wanted = [k for k, x in enumerate(texts) if near(len(x))]
         low = 0
-        while low < len(texts):
+        while low < len(wanted):
             high, chars = low, 0
-            while high < len(texts) and high - low < MOST_ROWS and chars < MOST_CHARS:
-                chars += len(texts[high])
+            while high < len(wanted) and high - low < MOST_ROWS and chars < MOST_CHARS:
+                chars += len(texts[wanted[high]])
                 high += 1
-            i, j = np.nonzero(self.candidates(texts[low:high]))
-            yield i + low, j
+            part = wanted[low:high]
+            i, j = np.nonzero(self.candidates([texts[k] for k in part]))
+            yield np.array(part)[i], j
             low = high

@@ -6,10 +6,12 @@ import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import grouped_split, hot, leakage, lookalikes, mixing, overlap, pairs, personal, repetition, splitting
+from paperloom.llm.batches import MOST_BYTES, map_rows, slices
 from paperloom.llm.queries import QUERIES, SQL
 from paperloom.llm.segments import SegmentIndex
 
@@ -41,6 +43,14 @@ def test_query_on_empty_tables(spark, data, tmp_path, name):
     assert not rows or name in ("p8_shares", "p8_whole_shares")
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(i, "字" * 100_000) for i in range(200)], "i int, t string").coalesce(1)
+    back = map_rows(df, "i int, t string", lambda: lambda i, t: [(i, t)] * 2)
+    assert back.select(F.count("i"), F.sum(F.length("t"))).first()[:] == (400, 40_000_000)
+    part = pa.RecordBatch.from_pydict({"t": ["字" * 100_000] * 200})
+    assert max(s.num_rows for s in slices(part)) * 300_000 <= 2 * MOST_BYTES
+
+
 # 1
 
 
