@@ -26,3 +26,17 @@ def test_query(spark, data, name):
         columns = [c[0] for c in result.description]
         assert sorted(columns) == sorted(got.columns)
         assert rows_of(rows, got.columns) == rows_of(result.fetchall(), columns)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_on_empty_tables(spark, empty, name):
+    rows = QUERIES[name](spark, empty).collect()
+    assert not rows or name in ("run_pass_rate", "supervision", "training_counts")
+
+
+@pytest.fixture(scope="module")
+def empty(spark, data, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for file in os.listdir(data):
+        spark.read.parquet(f"{data}/{file}").limit(0).write.parquet(f"{folder}/{file}")
+    return str(folder)
