@@ -14,7 +14,8 @@ Comparisons leave out marks, white space, width and case. The suffix automaton i
 occur in the prompt; a stretch of ``STRETCH`` characters holds at least one whole block, so nothing that counts is missed.
 
 Defined results: null messages or a missing answer are ``empty``; a missing prompt leaves only the checks of the answer itself.
-Of several messages of one role the first user and the last assistant message count. Repeated rows are each judged.
+Of several messages the last assistant message is judged; the last user message is the request, and copying is from all of them. Repeated
+rows are each judged.
 """
 
 from __future__ import annotations
@@ -205,7 +206,8 @@ def asked_parts(request: str) -> tuple[str, ...]:
     return PARTS["en"] if re.search(r"five (?:parts|headings|sections)", first) or all(p[:5] in first for p in PARTS["en"]) else ()
 
 
-def defect(request: str | None, answer: str | None, refusals: ahocorasick.Automaton) -> str | None:
+def defect(request: str | None, answer: str | None, refusals: ahocorasick.Automaton, prompt: str | None = None) -> str | None:
+    """The defect of an answer; ``prompt`` is all that was said to it where that is more than the request."""
     if answer is None:
         return "empty"
     shown = INVISIBLE.sub("", answer)
@@ -231,7 +233,7 @@ def defect(request: str | None, answer: str | None, refusals: ahocorasick.Automa
             wanted = "en"
         if wanted and given and wanted != given:
             return "wrong_language"
-        if copied_share(plain, letters(request)) >= COPY_SHARE:
+        if copied_share(plain, letters(prompt or request)) >= COPY_SHARE:
             return "copy"
     if len(asked) > 1:
         names = {p: any(g.startswith(p.rstrip("s")) or g.endswith(p) for g in given_parts) for p in asked}
@@ -249,11 +251,12 @@ PLACE_SET = frozenset({"", *map(letters, PLACEHOLDERS)})
 def pair_defects(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """(<id>, defect) for every sample, null where the answer serves the request."""
     said = lambda role: F.filter("messages", lambda m: m.role == role)
-    rows = samples.select(F.col(id_col).alias("id"), F.get(said("user"), F.lit(0))["content"].alias("request"), F.try_element_at(said("assistant"), F.lit(-1))["content"].alias("answer"))
+    prompt = F.array_join(F.transform(said("user"), lambda m: F.coalesce(m.content, F.lit(""))), "\n")
+    rows = samples.select(F.col(id_col).alias("id"), F.try_element_at(said("user"), F.lit(-1))["content"].alias("request"), F.when(F.size(said("user")) > 1, prompt).alias("prompt"), F.try_element_at(said("assistant"), F.lit(-1))["content"].alias("answer"))
 
     def start():
         refusals = refusal_automaton()
-        return lambda key, request, answer: ((key, defect(request, answer, refusals)),)
+        return lambda key, request, prompt, answer: ((key, defect(request, answer, refusals, prompt)),)
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_rows(rows, f"id {kind}, defect string", start).withColumnRenamed("id", id_col)

@@ -412,8 +412,10 @@ def test_refusals_of_any_length(answer, wanted):
 
 def test_defects_of_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [("user", ASK)]), (4, [("assistant", GOOD)]), (5, [("user", None), ("assistant", GOOD)]), (6, [("user", "Write a summary."), ("assistant", "Die Gruppen haben das Projekt nicht geprüft und der Plan ist im Lesen.")])]
+    rows += [(7, [("user", ASK + SOURCE), ("assistant", GOOD), ("user", "Please answer in one sentence."), ("assistant", "The pupils learned to speak in the lessons.")]), (8, [("user", ASK + SOURCE), ("assistant", GOOD), ("user", "再简短一些。"), ("assistant", SOURCE)])]
     df = spark.createDataFrame(rows, "sample_id int, messages array<struct<role:string,content:string>>")
-    assert {r["sample_id"]: r["defect"] for r in pairs.pair_defects(df).collect()} == {1: "empty", 2: "empty", 3: "empty", 4: None, 5: None, 6: "wrong_language"}
+    wanted = {1: "empty", 2: "empty", 3: "empty", 4: None, 5: None, 6: "wrong_language", 7: None, 8: "copy"}
+    assert {r["sample_id"]: r["defect"] for r in pairs.pair_defects(df).collect()} == wanted
 
 
 def test_suffix_automaton_against_substrings():
