@@ -33,6 +33,13 @@ def test_query(spark, data, name):
         assert sorted([plain(r[c]) for c in columns] for r in rows) == sorted([plain(x) for x in r] for r in result.fetchall())
 
 
+@pytest.mark.parametrize("name", "p1_found p1_pieces p4_found p6_found p7_clean p9_found p9_masked".split())
+def test_one_pass_has_no_exchange(spark, data, name):
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "BatchEvalPython" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_on_empty_tables(spark, data, tmp_path, name):
     for t in "reports_sections sft_train sft_valid documents heldout_items run_report".split():
