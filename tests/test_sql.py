@@ -40,3 +40,20 @@ def empty(spark, data, tmp_path_factory):
     for file in os.listdir(data):
         spark.read.parquet(f"{data}/{file}").limit(0).write.parquet(f"{folder}/{file}")
     return str(folder)
+
+
+@pytest.mark.parametrize("name", "section_text section_forward_fill doc_title heading_match text_normalize paragraph_chunks token_chunks cleaned_answers qa_texts evidence_prompts training_counts".split())
+def test_texts_stay_where_they_are(spark, data, name):
+    """No exchange, or (training_counts) none that carries a chunk of a text before it is chosen."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    if name != "training_counts":
+        assert "Exchange" not in plan
+    assert "CartesianProduct" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, data):
+    plan = QUERIES["run_pass_rate"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<qc_ok:boolean>" in plan
+    plan = QUERIES["prefix_dedup"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(text)" in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
