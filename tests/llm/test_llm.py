@@ -1,5 +1,6 @@
 """Operators for training data: literal cases, brute force on small fixtures, and the odd inputs."""
 
+import difflib
 import itertools
 import random
 import unicodedata
@@ -462,6 +463,23 @@ def test_leaks(spark):
     assert len(again) == len(docs)
 
 
+def test_leaks_of_the_small_tables_against_a_plain_alignment(spark, data):
+    """Blocks that both texts have in the same order, of all pairs that share a fair part of their grams of six."""
+    docs, items = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "heldout_items"))
+    texts = [(r["doc_id"], leakage.normal(r["text"])) for r in docs.where("text is not null").collect()]
+    wanted = set()
+    for r in items.where("passage is not null").collect():
+        x = leakage.normal(r["passage"])
+        grams = {x[i : i + 6] for i in range(len(x) - 5)}
+        for key, text in texts:
+            if sum(g in text for g in grams) >= 0.15 * len(grams):
+                blocks = difflib.SequenceMatcher(None, x, text, autojunk=False).get_matching_blocks()
+                if sum(b.size for b in blocks if b.size >= (12 if x.isascii() else 5)) >= 0.5 * len(x):
+                    wanted.add((r["item_id"], key))
+    assert {(r["item_id"], r["doc_id"]) for r in leakage.find_leaks(docs, items).collect()} == wanted
+    assert wanted
+
+
 # 8
 
 
