@@ -124,9 +124,9 @@ def _partners(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     rows = values_of(df, id_col, fields)
     marked = checkpoint(rows.select("field", "id", coarse(mapped(F.col("value"))).alias("k"), F.xxhash64("value").alias("h")))
     several = marked.groupBy("field", "k").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("field", "k")
-    wanted = checkpoint(marked.join(several, ["field", "k"], "left_semi").select("field", "id", "k").distinct())
+    wanted = checkpoint(marked.join(several, ["field", "k"], "left_semi").distinct())
     few = wanted.count() <= MOST_BROADCAST
-    return rows.join(F.broadcast(wanted) if few else wanted, ["field", "id"]).select("field", "id", "k", "value")
+    return rows.withColumn("h", F.xxhash64("value")).join(F.broadcast(wanted) if few else wanted, ["field", "id", "h"]).select("field", "id", "k", "value")
 
 
 def look_alike_classes(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:

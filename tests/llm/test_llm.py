@@ -370,6 +370,14 @@ def test_look_alikes(spark):
     assert one[8] is None
 
 
+def test_repeated_identifiers_keep_their_values_apart(spark):
+    rows = [(1, "Ａ行"), (1, "乙乙"), (2, "A行"), (2, "A行"), (3, "丙"), (3, None)]
+    df = spark.createDataFrame(rows, "ord int, t string")
+    assert sorted(map(tuple, lookalikes.look_alike_pairs(df, "ord", ("t",)).collect())) == [("t", 1, 2), ("t", 1, 2)]
+    members = lookalikes.look_alike_members(df, "ord", ("t",))
+    assert tuple(lookalikes.class_report(members).first()) == ("t", 1, 3, 2)
+
+
 def test_values_without_a_partner_are_composed(spark):
     draw = random.Random(21)
     texts = ["cafe\u0301", "e\u0302\u0301x", "\u0301a", "か\u3099き", "o\u0302x\u0308", None, "", "plain 字"] + ["".join(draw.choice("aeionū字か \u0301\u0302\u0308") for _ in range(12)) + str(i) for i in range(60)]
