@@ -89,7 +89,7 @@ def measures(text: Column, lines: Column, letters: Column) -> dict[str, Column]:
     """The measures by name, from the joined text, its non-blank lines and the result of :func:`letters_only`."""
     n_lines, n_chars = F.size(lines), F.length(F.regexp_replace(text, r"\s+", ""))
     n_letters = F.length(F.replace(letters, F.lit(BREAK), F.lit("")))
-    english = F.when(F.contains(text, F.lit(" the ")), F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(STOP_WORDS) + r")\b"))).otherwise(0)
+    english = F.regexp_count(F.lower(text), F.lit(r"\b(?:" + "|".join(STOP_WORDS) + r")\b"))
     stops = F.length(letters) - F.length(F.translate(letters, STOP_CHARS, "")) + english
     line_chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     return {

@@ -352,6 +352,20 @@ def test_repetition_beyond_a_million_letters(spark):
     assert r["repeated_content"]
 
 
+def test_stop_words_count_in_every_text(spark):
+    """Whether or not a text has the word "the" between blanks."""
+    texts = [
+        "A report of costs and aims for schools in towns, with plans by teachers",
+        "The\nplan was for schools", "of the, and the\nend", "All of the schools", "学校 report of 教师 and 学生", "Zoom apps", "AND by WHEN",
+    ]
+    counts = [7, 3, 4, 2, 2, 0, 3]
+    df = spark.createDataFrame([(i, {"a": t}) for i, t in enumerate(texts)], "ord int, sections map<string,string>")
+    for r in repetition.repetition_report(df).collect():
+        letters = sum(map(str.isalpha, texts[r["ord"]]))
+        assert abs(r["stop_word_share"] - counts[r["ord"]] / letters) < 1e-5, texts[r["ord"]]
+        assert r["no_stop_words"] == (counts[r["ord"]] == 0)
+
+
 # 5
 
 
